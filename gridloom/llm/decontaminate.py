@@ -122,9 +122,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """For each document row: its number of words, the hit word spans (merged, ends exclusive) and the occurring items."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = []
+    several = (benchmark.agg(F.sum(F.length(item_text_col))).head()[0] or 0) > block_chars
     for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        parts.append(rows.mapInArrow(_scan(shared), _SPANS))
+        parts.append(rows.mapInArrow(_scan(shared, several), _SPANS))
     if len(parts) == 1:
         return parts[0]
     # rows with a hit in some block; n_words and the rows themselves from the first block
@@ -137,7 +138,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return both.select("doc_id", "text_key", "n_words", joined("starts", "m_starts").alias("starts"), joined("ends", "m_ends").alias("ends"), F.array_distinct(joined("items", "m_items")).alias("items")).mapInArrow(_merge_rows, _SPANS)
 
 
-def _scan(shared):
+def _scan(shared, keys: bool):
+    """Spans of a block in each text; keys: with the text's hash, to find the row again in another block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         for batch in batches:
@@ -155,7 +158,7 @@ def _scan(shared):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
-                        pa.array([hashlib.sha256(data[offs[i + t] : offs[i + t + 1]]).hexdigest() if t in found else "" for t in range(j - i)]),
+                        pa.array([hashlib.sha256(data[offs[i + t] : offs[i + t + 1]]).hexdigest() if keys else "" for t in range(j - i)]),
                         pa.array(np.diff(ptr)),
                         pa.array([[s for s, _ in m] for m in merged], pa.list_(pa.int64())),
                         pa.array([[e for _, e in m] for m in merged], pa.list_(pa.int64())),
