@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, fingerprints, packing, tokencount
+from gridloom.llm import chat, decontaminate, fingerprints, packing, pii, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.summary(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -49,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op6_chat_format, op7_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_decontamination, op5_pii, op6_chat_format, op7_token_counts, op10_packing)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -71,5 +76,43 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _op5_sql() -> str:
+    """The same kinds with the same scores; the patterns without what only keeps a backtracking engine linear."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+        "local_phone": r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}\b",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    valid = {
+        "ip": r"list_bool_and(list_transform(string_split(m, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) <= 3 THEN coalesce(try_cast(p AS INT), 0) <= 255 ELSE false END))",
+        "card": f"""length({digits}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i:
+            CASE WHEN (length({digits}) - i) % 2 = 1 THEN (CASE WHEN {digits}[i]::INT > 4 THEN 2 * {digits}[i]::INT - 9 ELSE 2 * {digits}[i]::INT END) ELSE {digits}[i]::INT END)) % 10 = 0""",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "iban": """list_reduce(list_prepend(0, list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''), lambda c: ascii(c))),
+            lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1""",
+    }
+    parts = []
+    for rank, kind in enumerate(pii.KINDS):
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind.name}' AS kind, {str(kind.base).lower()} AS base, start, start + length(m) AS "end",
+            {kind.score} + CASE WHEN regexp_matches(ahead || ' | ' || after, '{kind.words}') THEN 0.25 ELSE 0 END - CASE WHEN regexp_matches(ahead, '{pii.AGAINST}') THEN 0.25 ELSE 0 END AS score
+        FROM (SELECT doc_id, ms[i] AS m, lower(right(ps[i], 40)) AS ahead, lower(left(ps[i + 1], 20)) AS after,
+                     list_sum(list_transform(ps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0)::BIGINT AS start
+              FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM
+                    (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{plain[kind.name]}') AS ms, string_split_regex(coalesce(text, ''), '{plain[kind.name]}') AS ps FROM documents))) x
+        WHERE {valid.get(kind.name, "true")}""")
+    return f"""
+WITH s AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE base OR score >= {pii.THRESHOLD}),
+a AS (SELECT * FROM s WHERE base OR NOT EXISTS (SELECT 1 FROM s b WHERE b.base AND b.doc_id = s.doc_id AND b.start < s."end" AND s.start < b."end"))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS if k.base)},
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (base), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank), '') AS spans
+FROM documents d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3_SQL}
+    return {"op3_decontamination": _OP3_SQL, "op5_pii": _op5_sql()}
