@@ -50,12 +50,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def _hash_block(data: np.ndarray, starts_of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, first bytes and end bytes of one buffer; no word spans a start of text."""
+def _hash_block(data: np.ndarray, starts_of_text: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, first bytes and end bytes of one buffer; no word spans a start of text.
+
+    With prefixes a row a word: its hash, then those of its first so many bytes (0 if it has no more than that).
+    """
     n = len(data)
     if n == 0:
         none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none
+        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none, none
     word = WORD_BYTE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -70,10 +73,17 @@ def _hash_block(data: np.ndarray, starts_of_text: np.ndarray) -> tuple[np.ndarra
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(BYTE_VALUE[data] * up, out=total[1:])
-    return mix64((total[end] - total[begin]) * down[begin]), begin, end
+    whole = mix64((total[end] - total[begin]) * down[begin])
+    if not prefixes:
+        return whole, begin, end
+    rows = [whole]
+    for k in prefixes:
+        part = mix64((total[np.minimum(begin + k, n)] - total[begin]) * down[begin] + np.uint64(k))
+        rows.append(np.where(end - begin > k, part, np.uint64(0)))
+    return np.stack(rows, 1), begin, end
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts data[offsets[i]:offsets[i+1]], and where each text's words start."""
     hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
     i = 0
@@ -81,7 +91,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1)
         lo, hi = int(offsets[i]), int(offsets[j])
         if hi - lo <= BLOCK_BYTES:
-            h, begin, _ = _hash_block(data[lo:hi], (offsets[i:j] - lo))
+            h, begin, _ = _hash_block(data[lo:hi], (offsets[i:j] - lo), prefixes)
             hashes.append(h)
             counts[i:j] = np.diff(np.searchsorted(begin, offsets[i : j + 1] - lo))
         else:  # one long text: blocks that end between words
@@ -94,14 +104,14 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
                         stop = at + int(gaps[-1]) + 1
                         break
                     stop = min(hi, stop + BLOCK_BYTES)
-                h, _, _ = _hash_block(data[at:stop], none)
+                h, _, _ = _hash_block(data[at:stop], none, prefixes)
                 hashes.append(h)
                 counts[i] += len(h)
                 at = stop
         i = j
     pointers = np.zeros(len(offsets), np.int64)
     np.cumsum(counts, out=pointers[1:])
-    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), pointers
+    return (np.concatenate(hashes) if hashes else _hash_block(data[:0], offsets, prefixes)[0]), pointers
 
 
 def grams(words: np.ndarray, k: int, salt: int = 7) -> np.ndarray:
