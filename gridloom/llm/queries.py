@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, fingerprints, packing, pii, quality, tokencount, toxicity
+from gridloom.llm import chat, decontaminate, fingerprints, jaccard, lines, packing, pii, quality, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of all documents removed."""
+    return lines.summary(lines.remove_boilerplate(_table(spark, sf_dir, "documents")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.summary(pii.find_spans(_table(spark, sf_dir, "documents")))
@@ -51,6 +56,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and links of all documents."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -64,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_decontamination, op5_pii, op6_chat_format, op7_token_counts, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_decontamination, op4_line_dedup, op5_pii, op6_chat_format, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_packing)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -124,5 +134,30 @@ FROM documents d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
 """
 
 
+_OP4_SQL = f"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, trim(line, ' ') AS key FROM l),
+f AS (SELECT key, min_by(doc_id, (doc_id, pos)) AS first_id, min_by(pos, (doc_id, pos)) AS first_pos FROM k WHERE length(key) >= {lines.MIN_CHARS}
+      GROUP BY key HAVING count(DISTINCT source) >= {lines.MIN_SITES}),
+m AS (SELECT k.*, f.key IS NOT NULL AND NOT (k.doc_id = first_id AND k.pos = first_pos) AS gone FROM k LEFT JOIN f USING (key)),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, length(coalesce(t.text, ''))::BIGINT AS n_chars, sha256(coalesce(t.text, '')) AS text_sha256
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+_OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, list_aggregate(w[i:i + least(5, len(w)) - 1], 'string_agg', ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)
+    UNION ALL SELECT doc_id, '#' || text FROM d WHERE len(w) = 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.node = d.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3_SQL, "op5_pii": _op5_sql()}
+    return {"op3_decontamination": _OP3_SQL, "op4_line_dedup": _OP4_SQL, "op5_pii": _op5_sql(), "op8_jaccard_join": _OP8_SQL}

@@ -28,8 +28,8 @@ from gridloom.llm.storage import cut
 from gridloom.llm.textops import arrow_buffer, buffer_of, hash_words, row_slices
 
 TRAIN_ROWS, MAX_FEATURES, MIN_DOCS = 8000, 1024, 3
-PREFIXES = (4, 5, 6)
-COUNTERFACTUAL, RIDGE = 4.0, 2e-3
+PREFIXES = (4, 5, 6, 7)
+COUNTERFACTUAL, RIDGE = 4.0, 3e-5
 #: Terms of a group are swapped for each other.
 IDENTITY_GROUPS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
