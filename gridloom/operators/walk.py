@@ -57,9 +57,10 @@ def walk_arrays(o: np.ndarray, s: np.ndarray, p: MapParams) -> tuple[np.ndarray,
             wall = centres(k0[:, a], p, a) + sign * p.resolution / 2
             first = (wall - o[:, a]) * inverse
             second = (wall + sign * p.resolution - o[:, a]) * inverse
+            apart = second - first
         ray.append(own)
         axis.append(np.full(len(own), a))
-        t.append(first[own] + (second - first)[own] * k)
+        t.append(first[own] + apart[own] * k)
         step.append(sign[own].astype(np.int64))
     ray, axis, t, step = (np.concatenate(x) for x in (ray, axis, t, step))
     order = np.lexsort((-axis, t, ray))
