@@ -25,7 +25,7 @@ def rays_query(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), c
     """
     seen = walk(rays, p).join(voxels.select(*VOXEL, "occupancy"), list(VOXEL), "left")
     stops = F.coalesce(F.col("occupancy") > p.threshold, F.lit(False))
-    order = F.struct("exit", "enter", "sample")
+    order = F.col("step")
     w = Window.partitionBy("seq")
     first = F.min(F.when(stops, order)).over(w)
     used = seen.withColumns({"order": order, "stops": stops, "first": first}).where(F.col("first").isNull() | (F.col("order") <= F.col("first")))
@@ -44,8 +44,7 @@ def lookup_rays(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams())
 def segment_keys(rays: DataFrame, p: MapParams = MapParams(), include_end: bool = True) -> DataFrame:
     """Voxels of each segment with their place."""
     visits = walk(rays, p, exclude_sample=not include_end)
-    place = F.row_number().over(Window.partitionBy("seq").orderBy("exit", "enter", "sample")) - 1
-    return visits.select("seq", place.alias("place"), *VOXEL)
+    return visits.select("seq", F.col("step").alias("place"), *VOXEL)
 
 
 def line_keys_counts(rays: DataFrame, p: MapParams = MapParams()) -> DataFrame:
@@ -120,7 +119,7 @@ def long_rays(rays: DataFrame, least: float) -> DataFrame:
 def clearing(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams()) -> DataFrame:
     """The voxels with one miss for each ray whose first occupied voxel (in the map before the batch) they are."""
     seen = walk(rays, p).join(voxels.where(occupied(p)).select(*VOXEL), list(VOXEL), "left_semi")
-    first = seen.groupBy("seq").agg(F.min_by(F.struct(*VOXEL), F.struct("exit", "enter", "sample")).alias("v"))
+    first = seen.groupBy("seq").agg(F.min_by(F.struct(*VOXEL), F.col("step")).alias("v"))
     misses = first.groupBy("v").agg(F.count("*").alias("n")).select("v.*", "n")
     fold = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.col("occupancy"), lambda v, _: F.greatest((v + F.lit(p.miss).cast("float")).cast("float"), F.lit(p.low).cast("float")))
     joined = voxels.join(misses, list(VOXEL), "left")

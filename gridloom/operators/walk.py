@@ -18,7 +18,7 @@ from gridloom.functions.params import MapParams
 
 #: Rays of a batch are walked in slices of about so many crossings.
 SLICE = 400_000
-VISITS = "seq long, gx int, gy int, gz int, enter double, exit double, sample boolean"
+VISITS = "seq long, step int, gx int, gy int, gz int, enter double, exit double, sample boolean"
 _RAY = ("seq", "ox", "oy", "oz", "sx", "sy", "sz")
 
 
@@ -96,13 +96,15 @@ def walk(rays: DataFrame, params: MapParams = MapParams(), keep: tuple[str, ...]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 own = fine[i:j]
                 ray, voxel, enter, leave, sample = walk_arrays(ends[own, :3], ends[own, 3:], params)
+                head = np.concatenate([[True], ray[1:] != ray[:-1]]) if len(ray) else np.zeros(0, bool)
+                step = np.arange(len(ray)) - np.flatnonzero(head)[np.cumsum(head) - 1]
                 use = np.ones(len(ray), bool)
                 if exclude_origin:
-                    use[np.flatnonzero(np.concatenate([[True], ray[1:] != ray[:-1]]))] = False
+                    use[head] = False
                 if exclude_sample:
                     use &= ~sample
                 at = pa.array(own[ray[use]])
-                columns = [batch.column(0).take(at), *(pa.array(voxel[use, a].astype(np.int32)) for a in range(3)), pa.array(enter[use]), pa.array(leave[use]), pa.array(sample[use])]
-                yield pa.RecordBatch.from_arrays(columns + [c.take(at) for c in batch.columns[7:]], names=["seq", "gx", "gy", "gz", "enter", "exit", "sample", *keep])
+                columns = [batch.column(0).take(at), pa.array(step[use].astype(np.int32)), *(pa.array(voxel[use, a].astype(np.int32)) for a in range(3)), pa.array(enter[use]), pa.array(leave[use]), pa.array(sample[use])]
+                yield pa.RecordBatch.from_arrays(columns + [c.take(at) for c in batch.columns[7:]], names=["seq", "step", "gx", "gy", "gz", "enter", "exit", "sample", *keep])
 
     return rays.select(*_RAY, *keep).mapInArrow(run, schema)

@@ -116,7 +116,7 @@ def split_long_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 # walk
 
 
-@query(f"{_VISITS} SELECT seq, (row_number() OVER (PARTITION BY seq ORDER BY exit, enter, sample) - 1)::INT AS place, gx, gy, gz FROM visits")
+@query(f"{_VISITS} SELECT seq, step AS place, gx, gy, gz FROM visits")
 def segment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.segment_keys(rays_of(spark, sf_dir), P)
 
@@ -126,7 +126,7 @@ def line_keys_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.line_keys_counts(rays_of(spark, sf_dir), P)
 
 
-@query(f"{_VISITS} SELECT seq, gx, gy, gz, round(enter, 6) AS enter, round(exit, 6) AS exit, sample FROM visits")
+@query(f"{_VISITS} SELECT seq, step, gx, gy, gz, round(enter, 6) AS enter, round(exit, 6) AS exit, sample FROM visits")
 def walk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(walk(rays_of(spark, sf_dir), P), "enter", "exit")
 
@@ -176,7 +176,7 @@ def mode_erode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.occupancy(walk(rays_of(spark, sf_dir), P, exclude_sample=True), P).withColumn("occupancy", F.col("occupancy").cast("double"))
 
 
-@query(f"{_VISITS}, first AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY exit, enter, sample) AS rn FROM visits), {oracles.voxels_cte(visits='first', where='rn > 1')} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy, n_ops FROM voxels")
+@query(f"{_VISITS}, first AS (SELECT *, step + 1 AS rn FROM visits), {oracles.voxels_cte(visits='first', where='rn > 1')} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy, n_ops FROM voxels")
 def exclude_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.occupancy(walk(rays_of(spark, sf_dir), P, exclude_origin=True), P).withColumn("occupancy", F.col("occupancy").cast("double"))
 
@@ -187,7 +187,7 @@ def end_point_as_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLEAR = f"""{_BASE}, batch AS (SELECT v.* FROM visits v JOIN voxels USING (gx, gy, gz) WHERE seq % 10 = 0 AND occupancy >= 0),
-f AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY seq ORDER BY exit, enter, sample) = 1), n AS (SELECT gx, gy, gz, count(*) AS n FROM f GROUP BY ALL)
+f AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY seq ORDER BY step) = 1), n AS (SELECT gx, gy, gz, count(*) AS n FROM f GROUP BY ALL)
 SELECT gx, gy, gz, round(CASE WHEN n IS NULL THEN occupancy ELSE greatest(occupancy + n * {exprs.num(P.miss)}, {exprs.num(P.low)}) END::DOUBLE, 4) AS occupancy FROM voxels LEFT JOIN n USING (gx, gy, gz)"""
 
 
@@ -286,7 +286,7 @@ def _half_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels_of(spark, sf_dir, "seq % 2 = 1")
 
 
-@query(f"""{_ASKED}, j AS (SELECT v.*, occupancy, coalesce(occupancy > 0, false) AS stop, row_number() OVER (PARTITION BY seq ORDER BY exit, enter, sample) AS rn FROM visits v LEFT JOIN voxels USING (gx, gy, gz)),
+@query(f"""{_ASKED}, j AS (SELECT v.*, occupancy, coalesce(occupancy > 0, false) AS stop, row_number() OVER (PARTITION BY seq ORDER BY step) AS rn FROM visits v LEFT JOIN voxels USING (gx, gy, gz)),
 f AS (SELECT *, min(CASE WHEN stop THEN rn END) OVER (PARTITION BY seq) AS first FROM j), u AS (SELECT * FROM f WHERE first IS NULL OR rn <= first)
 SELECT seq, round(coalesce(max(exit) FILTER (NOT stop), 0e0), 6) AS range, round(sum(CASE WHEN occupancy IS NULL THEN exit ** 3 - enter ** 3 ELSE 0e0 END), 6) AS unobserved_volume,
 CASE WHEN max_by(coalesce(occupancy, 1e30), rn) = 1e30 THEN -1 WHEN max_by(occupancy, rn) > 0 THEN 1 ELSE 0 END AS terminal_type, max_by(gx, rn) AS t_gx, max_by(gy, rn) AS t_gy, max_by(gz, rn) AS t_gz FROM u GROUP BY seq""")
@@ -300,7 +300,7 @@ _NEAR_CELL = "o.gx BETWEEN t.gx - 3 AND t.gx + 3 AND o.gy BETWEEN t.gy - 3 AND t
 
 @query(f"""{_ASKED}, t AS (SELECT DISTINCT gx, gy, gz, gx // 8 AS c FROM visits), o AS (SELECT gx, gy, gz, gx // 8 + unnest([-1, 0, 1]) AS c FROM voxels WHERE occupancy >= 0),
 n AS (SELECT t.gx, t.gy, t.gz, min({_D2}) AS d2 FROM t JOIN o ON o.c = t.c AND {_NEAR_CELL} WHERE {_D2} <= 0.09e0 + 1e-9 GROUP BY ALL)
-SELECT seq, (row_number() OVER (PARTITION BY seq ORDER BY exit, enter, sample) - 1)::INT AS place, gx, gy, gz, round(coalesce(sqrt(d2), -1e0), 6) AS clearance FROM visits LEFT JOIN n USING (gx, gy, gz)""")
+SELECT seq, step AS place, gx, gy, gz, round(coalesce(sqrt(d2), -1e0), 6) AS clearance FROM visits LEFT JOIN n USING (gx, gy, gz)""")
 def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.line_query(rays_of(spark, sf_dir).where("seq % 20 = 0"), _half_map(spark, sf_dir), P, 0.3), "clearance")
 

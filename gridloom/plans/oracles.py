@@ -24,9 +24,9 @@ def visits_cte(p: MapParams = MapParams(), rays: str = "rays", visits: str = "vi
     return f"""{visits}_l AS (SELECT *, {exprs.RAY_LENGTH} AS raw_len FROM {rays}),
 {visits}_k AS (SELECT *, CASE WHEN raw_len * raw_len <= 1e-6 THEN 0e0 ELSE raw_len END AS len, {k} FROM {visits}_l),
 {visits}_c AS (SELECT seq, axis, s, f + (g - f) * k AS t FROM ({" UNION ALL ".join(parts)})),
-{visits} AS (SELECT seq, gx, gy, gz, enter, exit, false AS sample FROM (SELECT c.seq, {moved}, coalesce(lag(t) OVER (PARTITION BY c.seq ORDER BY t, axis DESC), 0e0) AS enter, t AS exit
+{visits} AS (SELECT seq, step, gx, gy, gz, enter, exit, false AS sample FROM (SELECT c.seq, (row_number() OVER (PARTITION BY c.seq ORDER BY t, axis DESC) - 1)::INT AS step, {moved}, coalesce(lag(t) OVER (PARTITION BY c.seq ORDER BY t, axis DESC), 0e0) AS enter, t AS exit
   FROM {visits}_c c JOIN {visits}_k USING (seq) WINDOW w AS (PARTITION BY c.seq ORDER BY t, axis DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  UNION ALL SELECT seq, k1x, k1y, k1z, coalesce(m, 0e0), len, true FROM {visits}_k LEFT JOIN (SELECT seq, max(t) AS m FROM {visits}_c GROUP BY seq) USING (seq))"""
+  UNION ALL SELECT seq, coalesce(n, 0)::INT, k1x, k1y, k1z, coalesce(m, 0e0), len, true FROM {visits}_k LEFT JOIN (SELECT seq, max(t) AS m, count(*) AS n FROM {visits}_c GROUP BY seq) USING (seq))"""
 
 
 def voxels_cte(p: MapParams = MapParams(), visits: str = "visits", voxels: str = "voxels", hit: str = "sample", where: str = "true") -> str:
