@@ -66,7 +66,7 @@ def touch_time(visits: DataFrame) -> DataFrame:
 
 def mean(visits: DataFrame, p: MapParams = MapParams()) -> DataFrame:
     """Quantised running mean of the samples in each voxel: ten bits an axis, and the count. visits carry sx, sy, sz."""
-    from gridloom.functions.exprs import centre, num
+    from gridloom.functions.exprs import centre
 
     r = p.resolution
     samples = visits.where("sample").select(*VOXEL, F.struct("seq", *[(F.col(f"s{a}") - F.expr(centre(f"g{a}", p, i))).alias(a) for i, a in enumerate("xyz")]).alias("op"))
@@ -75,14 +75,13 @@ def mean(visits: DataFrame, p: MapParams = MapParams()) -> DataFrame:
     quantum = r / 1023
 
     def encode(x: Column) -> Column:
-        return F.least(F.lit(1023), F.greatest(F.lit(0), F.floor((x + 0.5 * r) / quantum).cast("int")))
+        return F.least(F.lit(1023), F.greatest(F.lit(0), F.floor((x + 0.5 * r) / quantum + 0.5).cast("int")))
 
     def update(s: Column, op: Column) -> Column:
         old = lambda a: F.when(s["n"] == 0, 0.0).otherwise(s[a] * quantum - 0.5 * r)
         return F.struct(*[encode(old(a) + (op[a] - old(a)) / (s["n"] + 1)).alias(a) for a in "xyz"], (s["n"] + 1).alias("n"))
 
     out = grouped.withColumn("m", F.aggregate("ops", zero, update))
-    del num
     return out.select(*VOXEL, *[F.col(f"m.{a}").alias(f"m{a}") for a in "xyz"], F.col("m.n").cast("long").alias("n_samples"))
 
 
@@ -95,23 +94,58 @@ def secondary(rays: DataFrame, p: MapParams = MapParams()) -> DataFrame:
 
 
 def normals(visits: DataFrame) -> DataFrame:
-    """Unit mean of the directions from samples to sensors, in each voxel. visits carry o and s."""
+    """Running mean of the directions from samples to sensors, as packed after each sample: x and y in 14 bits, the sign of z.
+
+    Each step decodes the packed normal, moves it towards the sample's direction, renormalises and packs again.
+    visits carry o and s.
+    """
     d = [F.col(f"o{a}") - F.col(f"s{a}") for a in "xyz"]
-    n = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    unit = visits.where("sample").withColumns({f"u{a}": F.when(n > 0, d[i] / n).otherwise(0.0) for i, a in enumerate("xyz")})
-    sums = unit.groupBy(*VOXEL).agg(*[F.sum(f"u{a}").alias(f"u{a}") for a in "xyz"])
-    whole = F.sqrt(sum(F.col(f"u{a}") * F.col(f"u{a}") for a in "xyz"))
-    return sums.select(*VOXEL, *[F.when(whole > 1e-9, F.col(f"u{a}") / whole).otherwise(0.0).alias(f"n{a}") for a in "xyz"])
+    square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    scale = F.when(square > 1e-6, 1 / F.sqrt(square)).otherwise(0.0)
+    op = F.struct("seq", *[(d[i] * scale).alias(f"u{a}") for i, a in enumerate("xyz")])
+    grouped = visits.where("sample").select(*VOXEL, op.alias("op")).groupBy(*VOXEL).agg(F.array_sort(F.collect_list("op")).alias("ops"))
+    start = F.struct(F.lit(0).alias("ix"), F.lit(0).alias("iy"), F.lit(False).alias("below"), F.lit(False).alias("set"), F.lit(0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+
+    def decode(s: Column) -> tuple[Column, Column, Column]:
+        x, y = (2 * (s[c] / F.lit(16383.0)) - 1 for c in ("ix", "iy"))
+        z = F.sqrt(F.greatest(F.lit(0.0), 1 - (x * x + y * y))) * F.when(s["below"], -1.0).otherwise(1.0)
+        return tuple(F.when(s["set"], c).otherwise(0.0) for c in (x, y, z))
+
+    def move(s: Column, op: Column) -> Column:
+        old = decode(s)
+        count = F.when(s["set"], s["n"]).otherwise(0) + 1
+        return F.struct(s["n"].alias("n"), *[(o + (op[f"u{a}"] - o) / count).alias(a) for o, a in zip(old, "xyz", strict=True)])
+
+    def pack(m: Column) -> Column:
+        size = m["x"] * m["x"] + m["y"] * m["y"] + m["z"] * m["z"]
+        by = F.when(size > 1e-6, 1 / F.sqrt(size)).otherwise(0.0)
+        x, y, z = (m[a] * by for a in "xyz")
+        bits = lambda c: F.floor(0.5 * (F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)) + 1) * 16383).cast("int")
+        return F.struct(bits(x).alias("ix"), bits(y).alias("iy"), (z < 0).alias("below"), (size > 1e-6).alias("set"), (m["n"] + 1).alias("n"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+    # the moved mean is bound once by transforming a one-element array, so it isn't computed again for each use
+    fold = F.aggregate("ops", start, lambda s, op: F.get(F.transform(F.array(move(s, op)), pack), F.lit(0)))
+    out = grouped.withColumn("f", fold)
+    return out.select(*VOXEL, "f.ix", "f.iy", "f.below", "f.n")
 
 
 def tsdf(visits: DataFrame, p: MapParams = MapParams(), truncation: float = 0.1, max_weight: float = 1e4) -> DataFrame:
-    """Weight and mean projective signed distance of each voxel's centre, clamped to the truncation. visits carry o and s."""
+    """Weight and signed distance of each voxel: a running mean in the order of the rays, clamped to the truncation at each step.
+
+    visits carry o and s. Single precision, as stored.
+    """
     from gridloom.functions.exprs import centre
 
     ray = [F.col(f"s{a}") - F.col(f"o{a}") for a in "xyz"]
-    far = F.sqrt(sum(d * d for d in ray))
-    along = sum((F.expr(centre(f"g{a}", p, i)) - F.col(f"o{a}")) * ray[i] for i, a in enumerate("xyz"))
-    signed = F.when(far > 0, far - along / far).otherwise(0.0)
-    near = visits.withColumn("sdf", signed).where(F.col("sdf") >= -truncation)
-    clamped = F.least(F.greatest(F.col("sdf"), F.lit(-truncation)), F.lit(truncation))
-    return near.groupBy(*VOXEL).agg(F.least(F.count("*").cast("double"), F.lit(max_weight)).alias("weight"), F.avg(clamped).alias("distance"))
+    far = F.sqrt(ray[0] * ray[0] + ray[1] * ray[1] + ray[2] * ray[2])
+    to = [F.expr(centre(f"g{a}", p, i)) - F.col(f"o{a}") for i, a in enumerate("xyz")]
+    along = to[0] * ray[0] + to[1] * ray[1] + to[2] * ray[2]
+    ops = visits.select(*VOXEL, F.struct("seq", F.when(far > 0, far - along / far).otherwise(0.0).cast("float").alias("sdf")).alias("op"))
+    grouped = ops.groupBy(*VOXEL).agg(F.array_sort(F.collect_list("op")).alias("ops"))
+    start = F.struct(_f(0).alias("weight"), _f(0).alias("distance"))
+
+    def update(s: Column, op: Column) -> Column:
+        mean = ((op["sdf"] + s["distance"] * s["weight"]).cast("float") / (s["weight"] + _f(1))).cast("float")
+        return F.struct(F.least((s["weight"] + _f(1)).cast("float"), _f(max_weight)).alias("weight"), F.least(F.greatest(mean, _f(-truncation)), _f(truncation)).alias("distance"))
+
+    return grouped.withColumn("t", F.aggregate("ops", start, update)).select(*VOXEL, "t.weight", "t.distance")

@@ -198,14 +198,22 @@ def clearing_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.clearing(rays.where("seq % 10 = 0"), voxels_of(spark, sf_dir), P).withColumn("occupancy", F.round(F.col("occupancy").cast("double"), 4))
 
 
-_MEAN_STEP = ", ".join(f"'{a}': least(1023, greatest(0, CAST(floor((({{o}}{a}) + (v.d{a} - ({{o}}{a})) / (s.n + 1) + 0.5e0 * 0.1e0) / (0.1e0 / 1023)) AS INT)))" for a in "xyz")
-
-
-@query(f"""{_VISITS} SELECT gx, gy, gz, count(*) AS n_samples, {', '.join(f'abs(avg(s{a} - {exprs.centre(f"g{a}", P, i)})) <= 0.05e0 + 1e-9 AS in{a}' for i, a in enumerate('xyz'))} FROM visits JOIN rays USING (seq) WHERE sample GROUP BY gx, gy, gz""")
+def _mean_sql() -> str:
+    """The quantised mean as a reduction over structs."""
+    q, half = "(0.1e0 / 1023)", "0.05e0"
+    step = []
+    for a in "xyz":
+        old = f"(CASE WHEN s.n = 0 THEN 0e0 ELSE s.m{a} * {q} - {half} END)"
+        step.append(f"'m{a}': least(1023, greatest(0, CAST(floor(({old} + (v.d{a} - {old}) / (s.n + 1) + {half}) / {q} + 0.5e0) AS INT)))")
+    zero = "{'mx': 0, 'my': 0, 'mz': 0, 'n': 0, 'dx': 0e0, 'dy': 0e0, 'dz': 0e0}"
+    op = "{'mx': 0, 'my': 0, 'mz': 0, 'n': 0, " + ", ".join(f"'d{a}': s{a} - {exprs.centre(f'g{a}', P, i)}" for i, a in enumerate("xyz")) + "}"
+    fold = f"list_reduce(list_prepend({zero}, list({op} ORDER BY seq)), lambda s, v: {{{', '.join(step)}, 'n': s.n + 1, 'dx': 0e0, 'dy': 0e0, 'dz': 0e0}})"
+    return f"{_VISITS}, f AS (SELECT gx, gy, gz, {fold} AS m FROM visits JOIN rays USING (seq) WHERE sample GROUP BY gx, gy, gz) SELECT gx, gy, gz, m.mx AS mx, m.my AS my, m.mz AS mz, m.n::BIGINT AS n_samples FROM f"
+
+
+@query(_mean_sql())
 def voxel_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample counts of the quantised means, and that the means lie in their voxels."""
-    m = fold.mean(walk(rays_of(spark, sf_dir), P, keep=("sx", "sy", "sz")), P)
-    return m.select(*fold.VOXEL, "n_samples", *[F.expr(f"abs({exprs.sub_voxel_offset(f'm{a}', P)}) <= 0.05e0 + 1e-9").alias(f"in{a}") for a in "xyz"])
+    return fold.mean(walk(rays_of(spark, sf_dir), P, keep=("sx", "sy", "sz")), P)
 
 
 @query(f"{_VISITS}, t AS (SELECT gx, gy, gz, sum(exit - enter) AS traversal, count(*) FILTER (sample) AS n FROM visits GROUP BY ALL) SELECT gx, gy, gz, round({exprs.density('n', 'traversal')}, 4) AS density FROM t WHERE traversal > 1e-6")
@@ -220,21 +228,41 @@ def secondary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"range_mean": F.round("range_mean", 6), "range_std": F.round("range_std", 4)})
 
 
-@query(f"""{_RAYS}, u AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _KEYS.items())}, {', '.join(f'CASE WHEN {exprs.RAY_LENGTH} > 0 THEN (o{a} - s{a}) / {exprs.RAY_LENGTH} ELSE 0e0 END AS u{a}' for a in 'xyz')} FROM rays),
-s AS (SELECT gx, gy, gz, sum(ux) AS ux, sum(uy) AS uy, sum(uz) AS uz FROM u GROUP BY ALL) SELECT gx, gy, gz, {', '.join(f'round(CASE WHEN sqrt(ux * ux + uy * uy + uz * uz) > 1e-9 THEN u{a} / sqrt(ux * ux + uy * uy + uz * uz) ELSE 0e0 END, 6) AS n{a}' for a in 'xyz')} FROM s""")
+def _normal_sql() -> str:
+    dec = {a: f"(CASE WHEN s.set THEN 2 * (s.i{a} / 16383e0) - 1 ELSE 0e0 END)" for a in "xy"}
+    raw = {a: f"(2 * (s.i{a} / 16383e0) - 1)" for a in "xy"}
+    dec["z"] = f"(CASE WHEN s.set THEN sqrt(greatest(0e0, 1 - ({raw['x']} * {raw['x']} + {raw['y']} * {raw['y']}))) * (CASE WHEN s.below THEN -1e0 ELSE 1e0 END) ELSE 0e0 END)"
+    count = "((CASE WHEN s.set THEN s.n ELSE 0 END) + 1)"
+    m = {a: f"({dec[a]} + (v.u{a} - {dec[a]}) / {count})" for a in "xyz"}
+    size = f"({m['x']} * {m['x']} + {m['y']} * {m['y']} + {m['z']} * {m['z']})"
+    by = f"(CASE WHEN {size} > 1e-6 THEN 1 / sqrt({size}) ELSE 0e0 END)"
+    bits = {a: f"CAST(floor(0.5e0 * (least(1e0, greatest(-1e0, {m[a]} * {by})) + 1) * 16383) AS INT)" for a in "xy"}
+    square = "((ox - sx) * (ox - sx) + (oy - sy) * (oy - sy) + (oz - sz) * (oz - sz))"
+    unit = ", ".join(f"'u{a}': (o{a} - s{a}) * (CASE WHEN {square} > 1e-6 THEN 1 / sqrt({square}) ELSE 0e0 END)" for a in "xyz")
+    state = "'ix': 0, 'iy': 0, 'below': false, 'set': false, 'n': 0"
+    fold = f"list_reduce(list_prepend({{{state}, 'ux': 0e0, 'uy': 0e0, 'uz': 0e0}}, list({{{state}, {unit}}} ORDER BY seq)), lambda s, v: {{'ix': {bits['x']}, 'iy': {bits['y']}, 'below': {m['z']} * {by} < 0, 'set': {size} > 1e-6, 'n': s.n + 1, 'ux': 0e0, 'uy': 0e0, 'uz': 0e0}})"
+    return f"{_VISITS}, f AS (SELECT gx, gy, gz, {fold} AS f FROM visits JOIN rays USING (seq) WHERE sample GROUP BY gx, gy, gz) SELECT gx, gy, gz, f.ix AS ix, f.iy AS iy, f.below AS below, f.n AS n FROM f"
+
+
+@query(_normal_sql())
 def incident_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = ("ox", "oy", "oz", "sx", "sy", "sz")
-    return rounded(fold.normals(walk(rays_of(spark, sf_dir), P, keep=ends)), "nx", "ny", "nz")
+    return fold.normals(walk(rays_of(spark, sf_dir), P, keep=("ox", "oy", "oz", "sx", "sy", "sz")))
 
 
 _ALONG = " + ".join(f"({exprs.centre(f'g{a}', P, i)} - o{a}) * (s{a} - o{a})" for i, a in enumerate("xyz"))
-_TSDF = f"{_VISITS}, d AS (SELECT gx, gy, gz, CASE WHEN {exprs.RAY_LENGTH} > 0 THEN {exprs.RAY_LENGTH} - ({_ALONG}) / {exprs.RAY_LENGTH} ELSE 0e0 END AS sdf FROM visits JOIN rays USING (seq))"
+_TSDF_FOLD = """list_reduce(list_prepend({'w': 0::FLOAT, 'd': 0::FLOAT}, list({'w': 0::FLOAT, 'd': sdf} ORDER BY seq)), lambda s, v: {'w': least((s.w + 1::FLOAT)::FLOAT, 1e4::FLOAT),
+  'd': least(greatest(((v.d + s.d * s.w)::FLOAT / (s.w + 1::FLOAT))::FLOAT, -0.1e0::FLOAT), 0.1e0::FLOAT)})"""
 
 
-@query(f"{_TSDF} SELECT gx, gy, gz, least(count(*)::DOUBLE, 1e4) AS weight, round(avg(least(greatest(sdf, -0.1e0), 0.1e0)), 6) AS distance FROM d WHERE sdf >= -0.1e0 GROUP BY ALL")
+@query(f"{_VISITS}, d AS (SELECT gx, gy, gz, seq, (CASE WHEN {exprs.RAY_LENGTH} > 0 THEN {exprs.RAY_LENGTH} - ({_ALONG}) / {exprs.RAY_LENGTH} ELSE 0e0 END)::FLOAT AS sdf FROM visits JOIN rays USING (seq)), f AS (SELECT gx, gy, gz, {_TSDF_FOLD} AS f FROM d GROUP BY gx, gy, gz) SELECT gx, gy, gz, f.w::DOUBLE AS weight, round(f.d::DOUBLE, 5) AS distance FROM f")
 def tsdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = ("ox", "oy", "oz", "sx", "sy", "sz")
-    return rounded(fold.tsdf(walk(rays_of(spark, sf_dir), P, keep=ends), P), "distance")
+    t = fold.tsdf(walk(rays_of(spark, sf_dir), P, keep=("ox", "oy", "oz", "sx", "sy", "sz")), P)
+    return t.select(*fold.VOXEL, F.col("weight").cast("double").alias("weight"), F.round(F.col("distance").cast("double"), 5).alias("distance"))
+
+
+@query(f"{_VISITS}, d AS (SELECT gx, gy, gz, seq, (CASE WHEN {exprs.RAY_LENGTH} > 0 THEN {exprs.RAY_LENGTH} - ({_ALONG}) / {exprs.RAY_LENGTH} ELSE 0e0 END)::FLOAT AS sdf FROM visits JOIN rays USING (seq)), f AS (SELECT gx, gy, gz, {_TSDF_FOLD} AS f FROM d GROUP BY gx, gy, gz) SELECT gx, gy, gz FROM f WHERE f.w > 0 AND abs(round(f.d::DOUBLE, 5)) < 0.05e0")
+def tsdf_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clouds.surface(tsdf(spark, sf_dir), P, 0.05).select(*fold.VOXEL)
 
 
 # sensor paths and batches
@@ -275,6 +303,26 @@ def windowed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches(spark, sf_dir).select("batch", F.sum("rays").over(w).alias("rays"), F.round(F.sum("total").over(w) / F.sum("rays").over(w), 6).alias("mean"))
 
 
+@query()
+def motion_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of each of seven sensors by size and motion."""
+    rays = rays_of(spark, sf_dir).withColumn("sensor", F.expr("CAST(round((ox + 0.93e0) / 0.31e0) AS INT)"))
+    return sources.motion_batches(rays, "sensor", 64, 0.4)
+
+
+@query(f"""{_RAYS}, knots AS (SELECT ts, 0.01e0 * min(seq) / 50 AS x, cos(0.05e0 * min(seq) / 50) AS qw, sin(0.05e0 * min(seq) / 50) AS qz FROM rays WHERE seq % 50 = 0 GROUP BY ts),
+spans AS (SELECT *, lead(ts) OVER w AS nts, lead(x) OVER w AS nx FROM knots WINDOW w AS (ORDER BY ts)), lin AS (SELECT k.ts, k.nts, k.x, k.nx, atan2(k.qz, k.qw) AS a, 0.05e0 * (k.nx - k.x) / 0.01e0 AS da FROM spans k)
+SELECT r.seq, round(l.x + u * (l.nx - l.x) + cos(2 * (l.a + u * l.da)) * sx - sin(2 * (l.a + u * l.da)) * sy, 4) AS wx, round(sin(2 * (l.a + u * l.da)) * sx + cos(2 * (l.a + u * l.da)) * sy, 4) AS wy
+FROM (SELECT r.*, l.*, (r.ts - l.ts) / (l.nts - l.ts) AS u FROM rays r LEFT JOIN lin l ON r.ts >= l.ts AND r.ts < l.nts WHERE r.seq % 50 <> 0) r, LATERAL (SELECT r.x, r.nx, r.a, r.da) l""")
+def pose_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points moved by a turning sensor's pose."""
+    rays = rays_of(spark, sf_dir)
+    knots = rays.where("seq % 50 = 0").groupBy("ts").agg((F.lit(0.01) * F.min("seq") / 50).alias("x"), (F.lit(0.05) * F.min("seq") / 50).alias("h"))
+    path = knots.select("ts", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.cos("h").alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin("h").alias("qz"))
+    points = rays.where("seq % 50 <> 0").selectExpr("seq", "ts", "sx AS x", "sy AS y", "sz AS z")
+    return sources.attach_pose(points, path).select("seq", F.round("wx", 4).alias("wx"), F.round("wy", 4).alias("wy"))
+
+
 # spatial queries
 
 

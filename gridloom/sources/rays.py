@@ -34,25 +34,80 @@ def trajectory(rays: DataFrame) -> DataFrame:
     return one.select("ts", (F.lit(0.01) * F.col("seq") / 50).alias("x"), (F.expr("(seq DIV 50) % 20") * F.lit(0.05)).alias("y"), F.lit(0.5).alias("z"))
 
 
-def attach_trajectory(points: DataFrame, path: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
-    """Sensor positions at the points' times, linear between the two knots around each; zero outside the path.
+def brackets(points: DataFrame, path: DataFrame, columns: tuple[str, ...], bucket_s: float) -> DataFrame:
+    """points, each with the knots before (k_*) and after (n_*) its time; null outside the path.
 
     A bracket is a pair of neighbouring knots; points and brackets meet on buckets of time, so the join is an
     equi-join that shuffles by bucket, and no pair outside a bracket's own buckets is formed.
     """
-    # neighbours across the path: knots are ranked within buckets, and a bucket's last knot looks at later buckets' first
-    knots = path.withColumn("b", F.floor(F.col("ts") / bucket_s))
+    every = ("ts", *columns)
+    knots = path.select(*every).withColumn("b", F.floor(F.col("ts") / bucket_s))
     inner = Window.partitionBy("b").orderBy("ts")
-    knots = knots.withColumns({f"n_{c}": F.lead(c).over(inner) for c in ("ts", "x", "y", "z")})
-    heads = knots.groupBy("b").agg(F.min_by(F.struct("ts", "x", "y", "z"), "ts").alias("head"))
-    ahead = heads.select(F.col("b"), F.lead("head").over(Window.orderBy("b")).alias("then"))  # one row a bucket
-    full = knots.join(ahead, "b").select("ts", "x", "y", "z", *[F.coalesce(f"n_{c}", f"then.{c}").alias(f"n_{c}") for c in ("ts", "x", "y", "z")])
+    knots = knots.withColumns({f"n_{c}": F.lead(c).over(inner) for c in every})
+    # a bucket's last knot is followed by the first of a later bucket; one row a bucket meets in the second window
+    heads = knots.groupBy("b").agg(F.min_by(F.struct(*every), "ts").alias("head"))
+    ahead = heads.select(F.col("b"), F.lead("head").over(Window.orderBy("b")).alias("then"))
+    full = knots.join(ahead, "b").select(*every, *[F.coalesce(f"n_{c}", f"then.{c}").alias(f"n_{c}") for c in every])
     spans = full.where("n_ts IS NOT NULL").withColumn("b", F.explode(F.sequence(F.floor(F.col("ts") / bucket_s), F.floor(F.col("n_ts") / bucket_s))))
-    spans = spans.select("b", *[F.col(c).alias(f"k_{c}") for c in ("ts", "x", "y", "z")], "n_ts", "n_x", "n_y", "n_z")
+    spans = spans.select("b", *[F.col(c).alias(f"k_{c}") for c in every], *[f"n_{c}" for c in every])
     p = points.withColumn("b", F.floor(F.col("ts") / bucket_s))
-    met = p.join(spans, (p["b"] == spans["b"]) & (p["ts"] >= spans["k_ts"]) & (p["ts"] < spans["n_ts"]), "left").drop("b")
-    share = (F.col("ts") - F.col("k_ts")) / (F.col("n_ts") - F.col("k_ts"))
-    return met.select(*points.columns, *[F.coalesce(F.col(f"k_{c}") + share * (F.col(f"n_{c}") - F.col(f"k_{c}")), F.lit(0.0)).alias(f"sensor_{c}") for c in ("x", "y", "z")])
+    return p.join(spans, (p["b"] == spans["b"]) & (p["ts"] >= spans["k_ts"]) & (p["ts"] < spans["n_ts"]), "left").drop("b")
+
+
+_SHARE = "(ts - k_ts) / (n_ts - k_ts)"
+
+
+def attach_trajectory(points: DataFrame, path: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+    """Sensor positions at the points' times, linear between the two knots around each; zero outside the path."""
+    met = brackets(points, path, ("x", "y", "z"), bucket_s)
+    return met.select(*points.columns, *[F.coalesce(F.expr(f"k_{c} + {_SHARE} * (n_{c} - k_{c})"), F.lit(0.0)).alias(f"sensor_{c}") for c in ("x", "y", "z")])
+
+
+def attach_pose(points: DataFrame, path: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+    """Local points x, y, z moved by the sensor's pose at their time; path has x, y, z and a unit quaternion qw, qx, qy, qz.
+
+    Positions are linear and rotations spherical between knots (the shorter way round); points outside the path
+    have null results.
+    """
+    q = ("qw", "qx", "qy", "qz")
+    met = brackets(points, path, ("x", "y", "z", *q), bucket_s).withColumn("u", F.expr(_SHARE))
+    met = met.withColumn("dot", F.expr(" + ".join(f"k_{c} * n_{c}" for c in q)))
+    met = met.withColumn("angle", F.acos(F.least(F.lit(1.0), F.abs("dot"))))
+    near = F.col("angle") < 1e-6
+    w0 = F.when(near, 1 - F.col("u")).otherwise(F.sin((1 - F.col("u")) * F.col("angle")) / F.sin("angle"))
+    w1 = F.when(near, F.col("u")).otherwise(F.sin(F.col("u") * F.col("angle")) / F.sin("angle")) * F.when(F.col("dot") < 0, -1.0).otherwise(1.0)
+    met = met.withColumns({"w0": w0, "w1": w1}).withColumns({f"r_{c}": F.expr(f"w0 * k_{c} + w1 * n_{c}") for c in q})
+    # v + 2 w (q x v) + 2 q x (q x v)
+    met = met.withColumns({"cx": F.expr("r_qy * z - r_qz * y"), "cy": F.expr("r_qz * x - r_qx * z"), "cz": F.expr("r_qx * y - r_qy * x")})
+    turned = {"x": "x + 2 * (r_qw * cx + r_qy * cz - r_qz * cy)", "y": "y + 2 * (r_qw * cy + r_qz * cx - r_qx * cz)", "z": "z + 2 * (r_qw * cz + r_qx * cy - r_qy * cx)"}
+    return met.select(*points.columns, *[F.expr(f"k_{a} + u * (n_{a} - k_{a}) + {turned[a]}").alias(f"w{a}") for a in "xyz"])
+
+
+def motion_batches(rays: DataFrame, part: str, size: int = 4096, delta: float = 0.0) -> DataFrame:
+    """A batch number for each ray: a new batch after `size` rays, or where the sensor moved more than delta from the batch's first origin.
+
+    Rays of a part are streamed in the order of seq; a task holds the state of one batch.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, filled, start = object(), 0, 0, (0.0, 0.0, 0.0)
+        for batch in batches:
+            out = []
+            for p, x, y, z in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                moved = (x - start[0]) ** 2 + (y - start[1]) ** 2 + (z - start[2]) ** 2
+                if p != own:
+                    own, number, filled, start = p, 0, 0, (x, y, z)
+                elif filled >= size or (delta > 0 and moved > delta * delta):
+                    number, filled, start = number + 1, 0, (x, y, z)
+                filled += 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.int64())], names=[part, "seq", "batch"])
+
+    rows = rays.select(part, "seq", "ox", "oy", "oz").repartition(part).sortWithinPartitions(part, "seq")
+    return rows.mapInArrow(run, f"{part} {rays.schema[part].dataType.simpleString()}, seq long, batch long")
 
 
 def infer_returns(rays: DataFrame, part: str = "user_id_part") -> DataFrame:
