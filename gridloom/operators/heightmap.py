@@ -77,3 +77,18 @@ def mesh(surface: DataFrame) -> DataFrame:
         squares = squares.join(corner(n, dx, dy), ["gx", "gy"])
     two = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("h00").alias("a"), F.col("h10").alias("b"), F.col("h11").alias("c")), F.struct(F.lit(1).alias("half"), F.col("h00").alias("a"), F.col("h11").alias("b"), F.col("h01").alias("c"))))
     return squares.select("gx", "gy", two.alias("t")).select("gx", "gy", "t.*")
+
+
+def pixels(surface: DataFrame, low: float, high: float) -> DataFrame:
+    """Rows and columns of an image of a heightmap, north up, with heights as 16-bit shades; columns without ground have none."""
+    box = surface.agg(F.min("gx").alias("x0"), F.max("gy").alias("y1"))
+    shade = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("height") - low) / (high - low))) * 65535).cast("int")
+    return surface.crossJoin(F.broadcast(box)).select((F.col("y1") - F.col("gy")).alias("row"), (F.col("gx") - F.col("x0")).alias("col"), shade.alias("shade"))
+
+
+def slopes(surface: DataFrame, p: MapParams = MapParams()) -> DataFrame:
+    """Steepest rise to the 8 neighbours of each column, in degrees; a mask of what can be driven is a filter on it."""
+    around = surface.select("gx", "gy", F.col("height").alias("h")).withColumn("dx", F.explode(F.expr("sequence(-1, 1)"))).withColumn("dy", F.explode(F.expr("sequence(-1, 1)"))).where("dx <> 0 or dy <> 0")
+    near = around.select((F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "h", (F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) * p.resolution).alias("run"))
+    rise = surface.join(near, ["gx", "gy"]).withColumn("rise", F.abs(F.col("height") - F.col("h")) / F.col("run"))
+    return rise.groupBy("gx", "gy").agg(F.degrees(F.atan(F.max("rise"))).alias("slope"))

@@ -99,3 +99,29 @@ def shared_layers(a: DataFrame, b: DataFrame) -> list[str]:
 
 def filter_layers(voxels: DataFrame, layers: list[str]) -> DataFrame:
     return voxels.select(*VOXEL, *[c for c in layers if c in voxels.columns])
+
+
+def clear_layer(voxels: DataFrame, layer: str, value: float | None) -> DataFrame:
+    """The map with one layer set to its clear value."""
+    return voxels.withColumn(layer, F.lit(value).cast(voxels.schema[layer].dataType))
+
+
+def memory(region_table: DataFrame, bytes_a_voxel: int, p: MapParams = MapParams()) -> DataFrame:
+    """Regions, and the bytes that a dense store of them would take."""
+    return region_table.agg(F.count("*").alias("regions"), (F.count("*") * (p.dims**3 * bytes_a_voxel)).alias("bytes"))
+
+
+def stale(region_table: DataFrame, since: int) -> DataFrame:
+    """Regions to compute anew after a stamp: those touched since, and their 26 neighbours that exist."""
+    near = region_table.where(F.col("stamp") > since).select(*REGION)
+    for r in REGION:
+        near = near.withColumn(f"d{r}", F.explode(F.expr("sequence(-1, 1)"))).withColumn(r, F.col(r) + F.col(f"d{r}"))
+    return region_table.select(*REGION).join(near.select(*REGION).distinct(), list(REGION), "left_semi")
+
+
+def lookup(voxels: DataFrame, region_table: DataFrame, keys: DataFrame, p: MapParams = MapParams()) -> DataFrame:
+    """Occupancy and type of single voxels: null (-2) where the region isn't there, unobserved (-1) where it is but the voxel isn't."""
+    there = region_table.select(*REGION, F.lit(True).alias("there"))
+    met = with_region(keys, p).join(voxels.select(*VOXEL, "occupancy"), list(VOXEL), "left").join(there, list(REGION), "left")
+    kind = F.when(F.col("occupancy").isNotNull(), F.when(F.col("occupancy") >= p.threshold, 1).otherwise(0)).when(F.col("there"), -1).otherwise(-2)
+    return met.select(*keys.columns, "occupancy", kind.alias("kind"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import exprs
+from gridloom.functions import boxes, exprs, names
 from gridloom.functions.params import MapParams
 from gridloom.operators import clouds, fold, heightmap, maps, ndt, spatial
 from gridloom.operators.walk import walk
@@ -430,6 +430,42 @@ def compare_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.compare(_half_map(spark, sf_dir), voxels_of(spark, sf_dir, "ox > 0"), 0.5)
 
 
+@query(f"{_REGIONS} SELECT DISTINCT a.rx, a.ry, a.rz FROM regions a JOIN regions b ON b.stamp > 1 AND abs(a.rx - b.rx) <= 1 AND abs(a.ry - b.ry) <= 1 AND abs(a.rz - b.rz) <= 1")
+def stale_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions whose clearance must be computed anew."""
+    return maps.stale(maps.regions(walk(rays_of(spark, sf_dir), P, keep=("ts",)), P), 1)
+
+
+@query(f"{_HALF}, q AS (SELECT seq, {', '.join(f'{e} + 1 AS {n}' for n, e in _KEYS.items())} FROM rays), r AS (SELECT DISTINCT {_REG} FROM voxels) SELECT seq, gx, gy, gz, round(occupancy::DOUBLE, 6) AS occupancy, CASE WHEN occupancy IS NOT NULL THEN (occupancy >= 0)::INT WHEN r.rx IS NOT NULL THEN -1 ELSE -2 END AS kind FROM (SELECT *, {_REG} FROM q) q LEFT JOIN voxels USING (gx, gy, gz) LEFT JOIN r ON q.rx = r.rx AND q.ry = r.ry AND q.rz = r.rz")
+def voxel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _half_map(spark, sf_dir)
+    keys = rays_of(spark, sf_dir).selectExpr("seq", *[f"{e} + 1 AS {n}" for n, e in _KEYS.items()])
+    return rounded(maps.lookup(m, maps.with_region(m, P).select(*maps.REGION).distinct(), keys, P), "occupancy")
+
+
+@query(f"{_REGIONS} SELECT count(*) AS regions, count(*) * {32**3 * 12} AS bytes FROM regions")
+def map_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.memory(maps.regions(walk(rays_of(spark, sf_dir), P, keep=("ts",)), P), 12, P)
+
+
+_RAY_BOX = (tuple(f"least(o{a}, s{a})" for a in "xyz"), tuple(f"greatest(o{a}, s{a})" for a in "xyz"))
+_FIXED_BOX = tuple(tuple(exprs.num(x) for x in side) for side in BOX)
+
+
+@query(f"{_RAYS} SELECT seq, {boxes.overlaps(_RAY_BOX, _FIXED_BOX)} AS overlaps, {boxes.contains(_FIXED_BOX, ('sx', 'sy', 'sz'))} AS inside, round({boxes.diagonal(_RAY_BOX)}, 6) AS diagonal, round({boxes.volume(_RAY_BOX)}, 6) AS volume, round({boxes.centre(_RAY_BOX)[0]}, 6) AS cx FROM rays")
+def ray_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounding boxes of rays against a box."""
+    r = rays_of(spark, sf_dir)
+    out = r.selectExpr("seq", f"{boxes.overlaps(_RAY_BOX, _FIXED_BOX)} AS overlaps", f"{boxes.contains(_FIXED_BOX, ('sx', 'sy', 'sz'))} AS inside", f"{boxes.diagonal(_RAY_BOX)} AS diagonal", f"{boxes.volume(_RAY_BOX)} AS volume", f"{boxes.centre(_RAY_BOX)[0]} AS cx")
+    return rounded(out, "diagonal", "volume", "cx")
+
+
+@query(f"{_BASE} SELECT CASE WHEN occupancy >= 0 THEN 'occupied' ELSE 'free' END AS name, count(*) AS n FROM voxels GROUP BY 1")
+def type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr(exprs.occupancy_type("occupancy", P))
+    return voxels_of(spark, sf_dir).groupBy(names.name_of(kind, names.OCCUPANCY_TYPES).alias("name")).agg(F.count("*").alias("n"))
+
+
 # heightmaps
 
 
@@ -460,6 +496,24 @@ def heightmap_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(heightmap.mesh(heightmap.planar(voxels_of(spark, sf_dir), P)), "a", "b", "c")
 
 
+@query(f"{_SURFACE}, e AS (SELECT min(gx) AS x0, max(gy) AS y1 FROM s) SELECT y1 - gy AS row, gx - x0 AS col, CAST(floor(least(1e0, greatest(0e0, (height - -2e0) / 4e0)) * 65535) AS INT) AS shade FROM s, e")
+def heightmap_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heightmap.pixels(heightmap.planar(voxels_of(spark, sf_dir), P), -2.0, 2.0)
+
+
+@query(f"{_SURFACE} SELECT a.gx, a.gy, round(degrees(atan(max(abs(a.height - b.height) / (sqrt((a.gx - b.gx) ** 2 + (a.gy - b.gy) ** 2) * 0.1e0)))), 4) AS slope FROM s a JOIN s b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND (a.gx <> b.gx OR a.gy <> b.gy) GROUP BY ALL")
+def heightmap_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heightmap.slopes(heightmap.planar(voxels_of(spark, sf_dir), P), P).withColumn("slope", F.round("slope", 4))
+
+
+@query()
+def heightmap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns reached from the middle of the coarse heightmap."""
+    wide = MapParams(resolution=0.5)
+    surface = heightmap.planar(fold.occupancy(walk(rays_of(spark, sf_dir), wide), wide), wide, clearance=0.0)
+    return heightmap.fill(surface, (16, 16), 1.0, wide)
+
+
 # distributions and exports
 
 

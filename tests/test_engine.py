@@ -168,3 +168,25 @@ def test_text_readers(spark, tmp_path):
     (tmp_path / "d.xyz").write_text("x y z\n1 2 3\n")
     with pytest.raises(ValueError):
         files.read_xyz(spark, str(tmp_path / "d.xyz"))
+
+
+def test_poses_and_motion_batches(spark):
+    half = math.sqrt(0.5)
+    path = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), (10.0, 1.0, 0.0, 0.0, half, 0.0, 0.0, half)], "ts double, x double, y double, z double, qw double, qx double, qy double, qz double")
+    points = spark.createDataFrame([(1, 5.0, 1.0, 0.0, 0.0), (2, 99.0, 1.0, 0.0, 0.0)], "seq long, ts double, x double, y double, z double")
+    got = {r["seq"]: r for r in sources.attach_pose(points, path).collect()}
+    assert got[1]["wx"] == pytest.approx(0.5 + half) and got[1]["wy"] == pytest.approx(half) and got[2]["wx"] is None
+    moving = rays(spark, [(0.3 * i, 0, 0, 9, 9, 9) for i in range(10)]).selectExpr("*", "seq % 1 AS part")
+    by_motion = {r["seq"]: r["batch"] for r in sources.motion_batches(moving, "part", 100, 0.5).collect()}
+    assert [by_motion[i] for i in range(10)] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+    by_size = {r["seq"]: r["batch"] for r in sources.motion_batches(moving, "part", 4).collect()}
+    assert [by_size[i] for i in range(10)] == [0] * 4 + [1] * 4 + [2] * 2
+
+
+def test_lookup_and_stale_regions(spark):
+    m = spark.createDataFrame([(0, 0, 0, 1.0)], "gx int, gy int, gz int, occupancy float")
+    table = spark.createDataFrame([(0, 0, 0, 5.0, 3), (1, 1, 1, 5.0, 1), (3, 0, 0, 5.0, 1)], "rx int, ry int, rz int, touched double, stamp long")
+    keys = spark.createDataFrame([(0, 0, 0), (5, 0, 0), (90, 90, 90)], "gx int, gy int, gz int")
+    assert sorted((r["gx"], r["kind"]) for r in maps.lookup(m, table, keys).collect()) == [(0, 1), (5, -1), (90, -2)]
+    assert sorted(r["rx"] for r in maps.stale(table, 2).collect()) == [0, 1]
+    assert maps.expire(table, 6.0).count() == 0 and maps.dirty(table, 1).count() == 1
