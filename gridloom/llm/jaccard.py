@@ -198,7 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = cut(each.withColumns({"size": F.count("*").over(shallow), "hub": F.min("sid").over(shallow)}).where("size > 1"))
     narrow = met.where(F.col("size") <= SMALL).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
     wide = met.where(F.col("size") > SMALL).withColumn("hub", F.min("sid").over(deep)).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-    clusters = components(narrow.union(wide).where("a != b").distinct())
+    # a node has at most TREES hubs: it keeps the least, and links its other hubs to that one
+    hubs = narrow.union(wide).groupBy("a").agg(F.collect_set("b").alias("hubs")).withColumn("b", F.least("a", F.array_min("hubs")))
+    stars = hubs.select(F.explode(F.array_union("hubs", F.array("a"))).alias("a"), "b").where("a != b").distinct()
+    clusters = components(stars)
 
     # blocks of clusters
     members = clusters.select(F.col("node").alias("sid"), F.col("root").alias("cid")).join(nodes.select("sid", "copies", "first", "n"), "sid")
