@@ -43,7 +43,8 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"), F.min(F.struct("id", "pos")).alias("first"))
     spread = cut(spread.select("h", F.hll_sketch_estimate("sketch").alias("sites"), "first").where(F.col("sites") >= min_sites * (1 - NEAR)))
     near = spread.where(F.col("sites") <= min_sites * (1 + NEAR)).select("h")
-    exact = lines.join(near, "h").groupBy("h").agg(F.count_distinct("site").alias("exact"))
+    # a frequent line meets the join as one row a site, and is combined before the shuffle
+    exact = lines.select("h", "site").distinct().join(near, "h").groupBy("h").agg(F.count("site").alias("exact"))
     both = spread.join(exact, "h", "left").select("h", F.coalesce("exact", "sites").alias("sites"), F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
     return cut(both.where(F.col("sites") >= min_sites))
 
