@@ -1,9 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices: threads cost more than they save
 
 
 @pytest.fixture(scope="session")
