@@ -105,12 +105,14 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", F.col("new").alias("root"))
 
 
-def compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, rows: int = 512, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, across: bool = True, rows: int = 512, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Linked copies of each set, and the least index of its component.
 
-    Pairs within a side count if all are on one side, else only pairs across the sides.
+    Only pairs across the sides count (none if all are on one side); all pairs if not across.
     """
     m = len(sets)
+    if across and (m == 0 or side.min() == side.max()):
+        return np.zeros(m, np.int64), np.arange(m)
     size = np.array([len(s) for s in sets], np.int64)
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), size)
@@ -123,7 +125,6 @@ def compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, rows:
     n_cols = int(often.sum())
     bounds = np.searchsorted(col, np.arange(0, n_cols + columns, columns))
     linked = np.zeros((m, m), bool)
-    two = side.min() != side.max() if m else False
     for lo in range(0, m, rows):
         hi = min(m, lo + rows)
         common = np.zeros((hi - lo, m), np.float32)
@@ -134,7 +135,7 @@ def compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, rows:
             common += dense[lo:hi] @ dense.T
         linked[lo:hi] = 9 * common >= 4 * (size[lo:hi, None] + size[None, :])
     np.fill_diagonal(linked, False)
-    if two:
+    if across:
         linked &= side[:, None] != side[None, :]
     root = np.full(m, -1)
     for i in range(m):
@@ -172,7 +173,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def result() -> pa.RecordBatch:
         sids = np.array(list(held), np.int64)
-        linked, root = compare([s for _, _, s in held.values()], np.array([c for _, c, _ in held.values()], np.int64), np.array([s for s, _, _ in held.values()]))
+        linked, root = compare([s for _, _, s in held.values()], np.array([c for _, c, _ in held.values()], np.int64), np.array([s for s, _, _ in held.values()]), across=key[1] != key[2])
         return pa.RecordBatch.from_arrays([pa.array(sids), pa.array(linked.astype(np.int64)), pa.array(sids[root])], names=["sid", "links", "root"])
 
     for batch in batches:

@@ -82,5 +82,17 @@ def test_compare_counts_across_sides_only():
     assert linked.tolist() == [4, 4, 0, 3] and root.tolist() == [0, 0, 2, 0]
 
 
+def test_empty_blocks_add_no_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 40)  # about as many blocks as nodes, so that some are empty
+    rng = random.Random(5)
+    rows = []
+    for _ in range(6):
+        w = prose(rng, 120, 3000).split()
+        rows += [(len(rows), " ".join(w), "s"), (len(rows) + 1, " ".join([*w, "last"]), "s")]
+    got = jaccard.near_duplicates(docs_frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute(rows)
+    assert {r["n_links"] for r in got} == {1}
+
+
 def test_empty_table(spark):
     assert jaccard.near_duplicates(docs_frame(spark, [])).collect() == []
