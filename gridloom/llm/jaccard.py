@@ -21,12 +21,13 @@ and count as the least id; repeated rows are copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.storage import cut
 from gridloom.llm.textops import arrow_buffer, mix64, row_slices, seeds, shingles
@@ -187,8 +188,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id and n_links of each row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (_LEAST for null), sid, n_links, and class_id and class_sid, the least id of the class with its node, of each row."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     nodes_of = cut(rows.mapInArrow(_scan, "id long, sid long, n long, keys array<long>"))
     nodes = cut(nodes_of.groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -222,19 +223,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     linked = nodes.where("copies > 1").select("sid").union(links.where("links > 0").select("sid")).distinct().join(nodes.select("sid", "copies", "first"), "sid").join(links, "sid", "left")
     linked = linked.select("sid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "sid").alias("root"), "first")
-    classes = linked.groupBy("root").agg(F.min("first").alias("class_id"))
-    special = linked.join(classes, "root").select("sid", "n_links", "class_id")
+    classes = linked.groupBy("root").agg(F.min(F.struct("first", "sid")).alias("c")).select("root", F.col("c.first").alias("class_id"), F.col("c.sid").alias("class_sid"))
+    special = linked.join(classes, "root").select("sid", "n_links", "class_id", "class_sid")
     out = nodes_of.select("id", "sid").join(special, "sid", "left")
-    real = lambda c: F.when(c != _LEAST, c)
-    return out.select(real(F.col("id")).alias("doc_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("id", "sid", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_sid", "sid").alias("class_sid"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id and n_links of each row."""
+    real = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
+    return _classes(docs, id_col, text_col).select(real("id").alias("doc_id"), real("class_id").alias("class_id"), "n_links")
+
+
+def _with_node(where: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the node of their text (column where)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = arrow_buffer(batch.column(where))
+            sids = [set_ids(*shingle_sets(data, offs[i : j + 1])) for i, j in row_slices(offs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.empty(0, np.int64), *sids]))], names=[*batch.schema.names, "__sid"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the least of their class; one of rows of equal ids."""
-    classes = cut(near_duplicates(docs, id_col, text_col))
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone"))
+    """One row of each class, with all its columns: of the least id, and of the least node where that id has several.
+
+    Most ids go or stay whole. Rows of an id of which only a part stays (ids that are null or repeated) are told apart by their nodes.
+    """
+    stays = (F.col("id") == F.col("class_id")) & (F.col("sid") == F.col("class_sid"))
+    rows = cut(_classes(docs, id_col, text_col).select("id", "sid", stays.alias("stays")))
+    ids = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_if("stays").alias("kept"))
+    gone = cut(ids.where("n > 1 or kept = 0").select(F.col("id").alias("__id"), (F.col("kept") > 0).alias("__part")))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    twice = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates([id_col])
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
+    kept = docs.join(gone, key == F.col("__id"), "left_anti")
+    parts = gone.where("__part")
+    if parts.isEmpty():
+        return kept
+    some = docs.join(parts, key == F.col("__id"), "left_semi")
+    some = some.mapInArrow(_with_node(docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())])).withColumn("__id", key)
+    wanted = rows.where("stays").join(parts, F.col("id") == F.col("__id"), "left_semi").select(F.col("id").alias("__id"), F.col("sid").alias("__sid"))
+    some = some.join(wanted, ["__id", "__sid"], "left_semi").dropDuplicates(["__id", "__sid"])
+    return kept.unionByName(some.select(*docs.columns))

@@ -70,6 +70,18 @@ def test_keep_one(spark):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _ in brute(rows)})
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    x, y, z, n1, n2, n3 = (prose(rng, 60, 3000) for _ in range(6))
+    near = x + " more"
+    rows = [(5, x, "s"), (5, y, "s"), (3, near, "s"), (7, z, "a"), (7, z, "b"), (None, n1, "s"), (None, n2, "s"), (None, n1, "s"), (None, n3, "s"), (9, n3, "s"), (11, "", "s"), (12, None, "s")]
+    docs = docs_frame(spark, rows)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(3, near), (5, y), (7, z), (11, ""), (None, n1), (None, n2), (None, n3)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in jaccard.components(edges).collect()}
