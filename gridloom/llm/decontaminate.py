@@ -108,9 +108,9 @@ class Index:
         return int(differ[0]) if len(differ) else n
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list[str], list[str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list[str | None], list[str]]]:
     """The benchmark in blocks of at most block_chars characters (or one item); the driver holds one block."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("i is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.length("t"))).head()[0] or 0
     n = max(1, -(-total // block_chars))
     for b in range(n):
@@ -129,9 +129,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if len(parts) == 1:
         return parts[0]
     # rows with a hit in some block; n_words and the rows themselves from the first block
-    more = parts[1].where("size(items) > 0")
+    more = parts[1].where("size(starts) > 0")
     for p in parts[2:]:
-        more = more.union(p.where("size(items) > 0"))
+        more = more.union(p.where("size(starts) > 0"))
     more = more.distinct().groupBy(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key")).agg(F.flatten(F.collect_list("starts")).alias("m_starts"), F.flatten(F.collect_list("ends")).alias("m_ends"), F.flatten(F.collect_list("items")).alias("m_items"))
     both = parts[0].join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left")
     joined = lambda a, b: F.concat(F.col(a), F.coalesce(F.col(b), F.array().cast(both.schema[b].dataType)))
@@ -153,7 +153,8 @@ def _scan(shared, keys: bool):
                 for t, (start, end, item) in zip(rows.tolist(), spans, strict=True):
                     at, items = found.setdefault(t, ([], set()))
                     at.append((start - int(ptr[t]), end - int(ptr[t])))
-                    items.add(index.ids[item])
+                    if index.ids[item] is not None:  # hit words count, but there is no name to list
+                        items.add(index.ids[item])
                 merged = [_merge(found[t][0]) if t in found else [] for t in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -188,10 +189,13 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """find_spans() with n_hit, n_items, items_sha256 and the verdict: at least one word in twenty is hit."""
-    spans = find_spans(docs, benchmark, **names)
+    out = _judged(find_spans(docs, benchmark, **names))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated", "starts", "ends", "items")
+
+
+def _judged(spans: DataFrame) -> DataFrame:
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = spans.withColumn("n_hit", n_hit)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "starts", "ends", "items")
+    return spans.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -199,8 +203,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     names = {"id_col": id_col, "text_col": text_col, "block_chars": block_chars}
     total = benchmark.agg(F.sum(F.length("text"))).head()[0] or 0
     if total > block_chars:
-        bad = contamination(docs, benchmark, **names).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-        return docs.join(bad, F.col(id_col) == F.col("__bad_id"), "left_anti")
+        bad = _judged(find_spans(docs, benchmark, **names)).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
+        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad_id")) & (key == F.col("__bad_key")), "left_anti")
     ids, texts = next(_blocks(benchmark, "item_id", "text", block_chars))
     shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
     where = docs.columns.index(text_col)

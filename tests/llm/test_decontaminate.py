@@ -49,6 +49,19 @@ def test_contamination_matches_brute_force(spark, block_chars):
     assert kept.columns == docs_frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("block_chars", [1 << 20, 200])
+def test_null_and_repeated_ids(spark, block_chars):
+    rng = random.Random(4)
+    items = [(1, prose(rng, 40, 900)), (None, prose(rng, 40, 900)), (2, prose(rng, 40, 900))]
+    clean, other = prose(rng, 50, 900), prose(rng, 30, 900)
+    rows = [(7, items[0][1], "s"), (7, clean, "s"), (None, items[2][1], "s"), (None, other, "s"), (8, items[1][1], "s")]
+    docs, benchmark = docs_frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    kept = dc.remove_contaminated(docs, benchmark, block_chars=block_chars).collect()
+    assert sorted(r["text"] for r in kept) == sorted([clean, other])
+    got = [r for r in dc.contamination(docs, benchmark, block_chars=block_chars).collect() if r["doc_id"] == 8]
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in got] == [(40, 0, True)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = dc.contamination(docs_frame(spark), none).collect()
