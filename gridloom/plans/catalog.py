@@ -567,3 +567,87 @@ def cone_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """occupancy_map, from a stream in micro-batches."""
     return streaming.replay(spark, sf_dir, P).withColumn("occupancy", F.col("occupancy").cast("double"))
+
+
+# The SQL of the queries above that need a map besides the rays asks a map of half of them; these take the map of all rays and ask
+# with all. Their second map, where there are two, is the samples of all rays.
+
+
+_SAMPLES = oracles.voxels_cte(where="sample", voxels="other")
+
+
+def _all(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a query, on all rays."""
+    sql = SQL[name].replace("0e0 + round(", "round(")
+    for old, new in (*changes, (_TWO, f"{_BASE},\n{_SAMPLES}"), (_ASKED, _BASE), (_HALF, _BASE)):
+        sql = sql.replace(old, new)
+    assert "seq %" not in sql and "ox > 0" not in sql
+    return sql
+
+
+def _samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.occupancy(walk(rays_of(spark, sf_dir), P).where("sample"), P)
+
+
+@query(_all("clearing_pattern", ("seq % 10 = 0 AND ", "")))
+def clearing_pattern_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.clearing(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P).withColumn("occupancy", F.round(F.col("occupancy").cast("double"), 4))
+
+
+@query(_all("rays_query"))
+def rays_query_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.rays_query(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P), "range", "unobserved_volume")
+
+
+@query(_all("line_query"))
+def line_query_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.line_query(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P, 0.3), "clearance")
+
+
+@query(_all("clearance"))
+def clearance_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.clearance(voxels_of(spark, sf_dir), P, 0.3), "clearance")
+
+
+@query(_all("nearest_neighbours"))
+def nearest_neighbours_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.nearest_neighbours(points_of(spark, sf_dir), voxels_of(spark, sf_dir), P, 0.5), "range")
+
+
+@query(_all("cloud_filter"))
+def cloud_filter_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = rays_of(spark, sf_dir).selectExpr("seq", "sx AS x", "sy AS y", "sz AS z")
+    return spatial.filter_cloud(points, voxels_of(spark, sf_dir), P).select("seq")
+
+
+@query(_all("merge_maps"))
+def merge_maps_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = maps.merge(voxels_of(spark, sf_dir), _samples_of(spark, sf_dir), P)
+    return merged.select(*fold.VOXEL, F.col("occupancy").cast("double").alias("occupancy"))
+
+
+@query(_all("submap"))
+def submap_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.submap(voxels_of(spark, sf_dir), EDGE_BOX, P).select(*fold.VOXEL, F.col("occupancy").cast("double").alias("occupancy"))
+
+
+@query(_all("compare_maps"))
+def compare_maps_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.compare(voxels_of(spark, sf_dir), _samples_of(spark, sf_dir), 0.5)
+
+
+@query(_all("voxel_lookup"))
+def voxel_lookup_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = voxels_of(spark, sf_dir)
+    keys = rays_of(spark, sf_dir).selectExpr("seq", *[f"{e} + 1 AS {n}" for n, e in _KEYS.items()])
+    return rounded(maps.lookup(m, maps.with_region(m, P).select(*maps.REGION).distinct(), keys, P), "occupancy")
+
+
+@query(_all("colour_by_height"))
+def colour_by_height_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clouds.coloured_by_height(voxels_of(spark, sf_dir), P, -1.0, 1.5), "r", "g", "b")
+
+
+@query(_all("voxel_cubes"))
+def voxel_cubes_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clouds.cubes(voxels_of(spark, sf_dir), P), "x", "y", "z")
