@@ -14,12 +14,13 @@ Pieces are ranked within their class and take the cuts and places that the plan
 has for it, so sequences follow from ranks without moving the documents. Checksums
 are kept for each CUT tokens and combined for the pieces, so a cut needs no ids.
 
-Tokenising looks up whole words: a space before a non-space begins a new word of the
-tokenizer, so the ids of a text are those of its words in turn; words not yet known
-and texts with other white space or special strings go to the tokenizer itself.
+Texts are tokenised in parts that end before a space between two words, where the
+tokenizer begins a new word whatever stands around, so a long text needs no more
+memory than its ids.
 
-Defined cases: a null or empty text is one piece, the end id alone; equal rows and
-equal ids are packed like others, each on its own.
+Defined cases: a null or empty text is one piece, the end id alone; equal rows, equal
+ids and null ids are packed like others, each on its own; an empty table gives no
+rows; columns of docs other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,32 +36,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import cut
+from gridloom.llm.storage import bounded, cut
 
 SEQUENCE, END_ID, STEP, GAP = 2048, 1, 8, 5e-4
 CUT, CUT_COST = 64, 0.004
-#: Each class is ranked in so many parts, so that a frequent length doesn't meet in one task.
-RANK_PARTS = 64
-#: Words a worker process remembers, in each of two generations.
-MEMO = 300_000
-_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|\n\n|<[|]")
+#: Classes are ranked in parts, about so many for each partition of a shuffle, so that a frequent length doesn't meet in one task.
+RANK_PARTS = 4
+#: Code points that are tokenised at once.
+PART = 1 << 17
+_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0250-\U0010ffff]|<[|]")
+_BORDER = re.compile(r"[^\W_](?= [^\W_])")
 _PIECES = "doc_id long, start long, length long, crcs binary, doc_tokens long"
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 
 
-class WordIds(dict):
-    """Ids, as little-endian 32-bit bytes, of words that follow a space (or of a newline and the word after it).
+class Ids:
+    """Ids of texts, as little-endian 32-bit bytes.
 
-    Words of Latin letters, digits and signs go through a second library with the same ranks, which
-    is several times as fast for one word; it is used only if the file's merges are in the order of their ids.
+    Parts of Latin letters, digits and signs go through a second library with the same ranks, which is
+    several times as fast; it is used only if the file's merges are in the order of their ids.
     """
 
     def __init__(self, vocabulary: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.old, self.fast = Tokenizer.from_str(vocabulary), {}, None
+        self.vocabulary, self.tokenizer, self.fast = vocabulary, None, None
         model = json.loads(vocabulary)["model"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         if all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
@@ -70,41 +70,28 @@ class WordIds(dict):
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def exact(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, text: str) -> bytes:
-        if self.fast is not None and text and max(text) < "\u0250":
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        return self.exact(text)
-
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.old.get(word)) is None:
-            ids = self.word(word) if word[:1] == "\n" else self.word(" " + word)
-        if len(word) <= 64:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
     def ids(self, text: str) -> bytes:
-        split = text.replace("\n", " \n")
-        if not text or "  " in split or split[0] == " " or split[-1] == " " or _ODD.search(text):
-            return self.exact(text) if text else b""
-        first, *rest = split.split(" ")
-        return self.word(first) + b"".join(map(self.__getitem__, rest))
+        """The ids of a text, made part by part, so that the memory beside them is bounded."""
+        return b"".join(np.array(self._part(part), "<u4").tobytes() for part in parts(text))
 
+    def _part(self, part: str) -> list[int]:
+        if self.fast is not None and not _ODD.search(part):
+            return self.fast.encode_ordinary(part)
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
 
-_words: dict[int, WordIds] = {}
+            self.tokenizer = Tokenizer.from_str(self.vocabulary)
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
 
 
-def _lookup(vocabulary: str) -> WordIds:
-    key = hash(vocabulary)
-    if key not in _words:
-        _words.clear()
-        _words[key] = WordIds(vocabulary)
-    return _words[key]
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """The text in parts of about `size` code points, cut before a space between letters or digits: a new word begins there."""
+    at = 0
+    while len(text) - at > size and (border := _BORDER.search(text, at + size)):
+        yield text[at : border.start() + 1]
+        at = border.start() + 1
+    if at < len(text):
+        yield text[at:]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,11 +100,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _lookup(shared.value)
+        tokens = Ids(shared.value)  # for this task alone: nothing of it stays in the worker
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(words.ids(text) + end)
+                ids = memoryview(tokens.ids(text) + end)
                 n = len(ids) // 4
                 for at in range(0, n, SEQUENCE):
                     piece = ids[4 * at : 4 * (at + SEQUENCE)]
@@ -126,7 +113,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(columns)], names=_NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, _PIECES)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, _PIECES)
 
 
 def best_pattern(values: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -322,22 +309,27 @@ _RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def pack(pieces: DataFrame) -> DataFrame:
     """Final pieces with sequence_id and offset. Pieces are light rows; two shuffles of them, by class and by sequence."""
-    unit, part = ((F.col("length") + STEP - 1) / STEP).cast("int"), F.pmod(F.xxhash64("doc_id", "start", "crcs"), F.lit(RANK_PARTS)).cast("int")
-    pieces = cut(pieces.withColumns({"unit": unit, "part": part}))
-    counts = pieces.groupBy("unit", "part").count().collect()  # at most 256 classes x RANK_PARTS
-    table = np.zeros((SEQUENCE // STEP + 1, RANK_PARTS), np.int64)
-    for r in counts:
-        table[r["unit"], r["part"]] = r["count"]
-    before = np.cumsum(table, 1) - table
-    plan = Plan(table.sum(1)) if counts else None
+    unit = ((F.col("length") + STEP - 1) / STEP).cast("int")
+    pieces = cut(pieces.withColumns({"unit": unit, "row": F.monotonically_increasing_id()}))  # from here on a row keeps its number
+    demand = np.zeros(SEQUENCE // STEP + 1, np.int64)
+    for r in pieces.groupBy("unit").count().collect():  # at most 256 classes
+        demand[r["unit"]] = r["count"]
+    rows = max(1, int(demand.sum()) // (RANK_PARTS * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    deal = F.element_at(F.lit([max(1, -(-int(n) // rows)) for n in demand]), F.col("unit") + 1)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("row"), deal).cast("int"))
+    counts = sorted(tuple(r) for r in pieces.groupBy("unit", "part").count().collect())  # a number a part, at most one more a class
+    before: dict[tuple[int, int], int] = {}
+    for k, (w, p, _) in enumerate(counts):
+        before[w, p] = before[counts[k - 1][:2]] + counts[k - 1][2] if k and counts[k - 1][0] == w else 0
+    plan = Plan(demand) if counts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, start, length, crcs, tokens, unit, part, rank in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, start, length, crcs, tokens, unit, _, part, rank in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 crcs = np.frombuffer(crcs, "<u4")
                 at = 0
-                for front, sequence, slot in plan.pieces(unit, rank - 1 + int(before[unit, part])):
+                for front, sequence, slot in plan.pieces(unit, rank - 1 + before[unit, part]):
                     n = front or length - at
                     own = crcs[at // CUT : -(-(at + n) // CUT)]
                     rows.append((doc, start + at, n, combine(own, 4 * (n - CUT * (len(own) - 1))), tokens, sequence, slot))
@@ -345,7 +337,7 @@ def pack(pieces: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in _RESULT.split(", ")])
 
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("unit", "part").orderBy("doc_id", "start", "crcs", "doc_tokens")))
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("unit", "part").orderBy("row")))
     placed = ranked.mapInArrow(run, _RESULT)
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0).cast("long"))).drop("slot")

@@ -56,11 +56,29 @@ def test_word_ids_as_the_library():
     from tokenizers import Tokenizer
 
     vocabulary = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
-    own, library = packing.WordIds(vocabulary), Tokenizer.from_str(vocabulary)
-    for text in strings(2000, 14) + [t or "" for _, t, _ in ODD_DOCS]:
+    own, library = packing.Ids(vocabulary), Tokenizer.from_str(vocabulary)
+    latin = ["".join(chr(c) for c in range(a, a + 3)) + " 'S don't\n\n x" for a in range(0x250)]  # each sign that the fast library sees
+    for text in strings(2000, 14) + latin + [t or "" for _, t, _ in ODD_DOCS]:
         assert own.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:80]
 
 
+def test_parts_change_no_ids():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in strings(300, 60) + [prose(random.Random(7), 500), "x" * 500, ""]:
+        cut = list(packing.parts(text, 5))
+        assert "".join(cut) == text
+        assert sum((library.encode(p, add_special_tokens=False).ids for p in cut), []) == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, packing.parts(prose(random.Random(7), 500), 50))) < 65
+
+
+def test_a_frequent_length_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_PARTS", 30)
+    got = packing.pack_documents(docs_frame(spark, [(None, "same text", "s")] * 100 + [(1, "other " * 40, "s")] * 9), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(got) == 109 and len({(r["sequence_id"], r["offset"]) for r in got}) == 109
+
+
 def test_checksums_combine():
     raw = np.random.default_rng(0).integers(0, 50_000, 777).astype("<u4").tobytes()
     parts = [raw[i : i + 4 * packing.CUT] for i in range(0, len(raw), 4 * packing.CUT)]
