@@ -3,18 +3,24 @@
 Of the hashes of all 9-word grams the smallest in each run of 5 neighbours is kept,
 for documents and for benchmark items alike. Two texts that share 13 consecutive
 words share such a run and so a kept hash (9 + 5 - 1 = 13): joining kept hashes
-finds every shared span of that length. A hit is extended word by word to both
-sides; a span of 13 words or more marks its document words and its item. Items of
-fewer than 13 words have no such run and are looked up whole, by a gram of their own
-length.
-
-The benchmark side is joined as an in-memory index where it has at most
-block_chars characters, which is checked; a larger benchmark is cut into blocks of
-items and the documents are read once for each block, so memory stays bounded and no
-key is shuffled.
+finds every shared span of that length. Each hit is extended to the windows of 13
+words around it (at most 5 hold the gram); those that are windows of an item mark
+their words and their items. Hits and windows are looked up by sorted arrays, so the
+time is linear in the words of a text plus the items found, also for texts of one
+repeated word. Items of fewer than 13 words have no such run and are looked up whole,
+by a gram of their own length.
+
+The benchmark side is joined as an index of sorted hashes, built once on the driver
+and broadcast where the benchmark has at most block_chars characters, which is
+checked; a larger benchmark is cut into blocks of items and the documents are read
+once for each block, so memory stays bounded and no key is shuffled.
 
 Defined cases: a null or wordless text has no words, no hits and is clean; items that
-are null or wordless never occur; repeated item rows count once by their item id.
+are null or wordless never occur; repeated item rows count once by their item id, and
+items of a null id hit words but are not listed; rows of equal or null ids are judged
+each by its own text; a long text is hashed by blocks and its memory is a few numbers
+a word; an empty table of documents gives no rows, an empty benchmark no hits; columns
+other than id and text are not read, and clash with nothing.
 """
 
 from __future__ import annotations
@@ -27,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.storage import bounded, free_name
 from gridloom.llm.textops import arrow_buffer, buffer_of, gram_starts, grams, hash_words, row_slices
 
 WINDOW, GRAM = 13, 9
 RUN = WINDOW - GRAM + 1
-BLOCK_CHARS = 64 << 20
+BLOCK_CHARS = 16 << 20
 _SPANS = "doc_id long, text_key string, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
@@ -51,81 +58,95 @@ def winnow(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[where], where
 
 
+class _Table:
+    """Hashes with the items that hold each, as sorted arrays."""
+
+    def __init__(self, hashes: np.ndarray, items: np.ndarray):
+        order = np.lexsort((items, hashes))
+        hashes, items = hashes[order], items[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])
+        self.items = items[fresh].astype(np.int32)
+        self.hashes, first = np.unique(hashes[fresh], return_index=True)
+        self.first = np.append(first, len(self.items)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are here, and their places."""
+        if not len(self.hashes) or not len(hashes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.flatnonzero(self.hashes[at] == hashes)
+        return found, at[found]
+
+    def held(self, places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, item) pairs of the places, each once."""
+        pairs = np.unique(np.stack([owner, places], 1), axis=0) if len(places) else np.empty((0, 2), np.int64)
+        size = self.first[pairs[:, 1] + 1] - self.first[pairs[:, 1]]
+        begin = np.repeat(self.first[pairs[:, 1]] - (np.cumsum(size) - size), size)
+        return np.repeat(pairs[:, 0], size), self.items[begin + np.arange(size.sum())]
+
+
 class Index:
-    """The benchmark side: words of a block of items, kept hashes with their places, and short items by length."""
+    """The benchmark side: kept grams, windows with their items, and short items by length."""
 
-    def __init__(self, ids: list[str], texts: list[str]):
+    def __init__(self, ids: list[str | None], texts: list[str]):
         self.ids = ids
-        self.words, self.ptr = hash_words(*buffer_of([(t or "").encode() for t in texts]))
-        kept, where = winnow(self.words, self.ptr)
-        order = np.argsort(kept, kind="stable")
-        self.kept, self.where = kept[order], where[order]
-        self.item = np.repeat(np.arange(len(ids)), np.diff(self.ptr))
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for i, n in enumerate(np.diff(self.ptr)):
-            if 0 < n < WINDOW:
-                whole = int(grams(self.words[self.ptr[i] : self.ptr[i + 1]], int(n))[0])
-                self.short.setdefault(int(n), {}).setdefault(whole, []).append(i)
-
-    def spans(self, words: np.ndarray, ptr: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first word, end word, item) of each occurrence, over the words of several texts."""
-        kept, where = winnow(words, ptr)
-        if len(self.kept) and len(kept):
-            lo = np.searchsorted(self.kept, kept, "left")
-            hit = np.flatnonzero(self.kept[np.minimum(lo, len(self.kept) - 1)] == kept)
-            hi = np.searchsorted(self.kept, kept[hit], "right")
-            text = np.searchsorted(ptr, where[hit], "right") - 1
-            reached: dict[tuple[int, int], int] = {}
-            for k, (i, t) in enumerate(zip(where[hit].tolist(), text.tolist(), strict=True)):
-                for q in self.where[lo[hit[k]] : hi[k]].tolist():
-                    if reached.get((t, i - q), -1) > i:
-                        continue
-                    item = int(self.item[q])
-                    left = self._same(words, i, int(ptr[t]), q, int(self.ptr[item]), -1)
-                    right = self._same(words, i, int(ptr[t + 1]), q, int(self.ptr[item + 1]), 1)
-                    reached[t, i - q] = i + right
-                    if left + right >= WINDOW:
-                        yield i - left, i + right, item
-        for n, table in self.short.items():
-            at, _ = gram_starts(ptr, n)
-            if len(at):
-                g = grams(words, n)[at]
-                for k in np.flatnonzero(np.isin(g, np.fromiter(table, np.uint64, len(table)))):
-                    for item in table[int(g[k])]:
-                        a = self.ptr[item]
-                        if (self.words[a : a + n] == words[at[k] : at[k] + n]).all():
-                            yield int(at[k]), int(at[k]) + n, item
-
-    def _same(self, words: np.ndarray, i: int, i_end: int, q: int, q_end: int, step: int) -> int:
-        """How many words agree from (i, q) on to the right, or before them to the left."""
-        if step > 0:
-            n = min(i_end - i, q_end - q)
-            a, b = words[i : i + n], self.words[q : q + n]
-        else:
-            n = min(i - i_end, q - q_end)
-            a, b = words[i - n : i][::-1], self.words[q - n : q][::-1]
-        differ = np.flatnonzero(a != b)
-        return int(differ[0]) if len(differ) else n
+        words, ptr = hash_words(*buffer_of([(t or "").encode() for t in texts]))
+        n = np.diff(ptr)
+        self.kept = np.unique(winnow(words, ptr)[0])
+        at, own = gram_starts(ptr, WINDOW)
+        self.windows = _Table(grams(words, WINDOW)[at], np.repeat(np.arange(len(ids)), np.diff(own)))
+        self.short: dict[int, _Table] = {}
+        for size in np.unique(n[(n > 0) & (n < WINDOW)]).tolist():
+            items = np.flatnonzero(n == size)
+            self.short[size] = _Table(grams(words, size)[ptr[items]], items)
+
+    def hits(self, words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word lies in an occurring window, and the (text, item) pairs, over the words of several texts."""
+        change = np.zeros(len(words) + 1, np.int64)
+        texts, items = [], []
+
+        def mark(table: _Table, size: int, starts: np.ndarray) -> None:
+            found, places = table.find(grams(words, size)[starts])
+            np.add.at(change, starts[found], 1)
+            np.add.at(change, starts[found] + size, -1)
+            t, i = table.held(places, np.searchsorted(ptr, starts[found], "right") - 1)
+            texts.append(t)
+            items.append(i)
 
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list[str | None], list[str]]]:
-    """The benchmark in blocks of at most block_chars characters (or one item); the driver holds one block."""
+        kept, where = winnow(words, ptr)
+        if len(kept) and len(self.kept):
+            where = where[self.kept[np.minimum(np.searchsorted(self.kept, kept), len(self.kept) - 1)] == kept]
+            # extension: the windows around a hit, within its text
+            text = np.searchsorted(ptr, where, "right") - 1
+            around = where[:, None] - np.arange(RUN)
+            around = around[(around >= ptr[text][:, None]) & (around + WINDOW <= ptr[text + 1][:, None])]
+            mark(self.windows, WINDOW, np.unique(around))
+        for size, table in self.short.items():
+            starts, _ = gram_starts(ptr, size)
+            if len(starts):
+                mark(table, size, starts)
+        pairs = np.unique(np.stack([np.concatenate([np.empty(0, np.int64), *texts]), np.concatenate([np.empty(0, np.int64), *items])], 1), axis=0)
+        return np.cumsum(change[:-1]) > 0, pairs[:, 0], pairs[:, 1]
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[Index]:
+    """The benchmark in blocks of about block_chars characters (or one item); the driver holds one block."""
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.length("t"))).head()[0] or 0
-    n = max(1, -(-total // block_chars))
-    for b in range(n):
+    for b in range(n := _n_blocks(benchmark, text_col, block_chars)):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).distinct().orderBy("i", "t").collect()
-        yield [r["i"] for r in rows], [r["t"] for r in rows]
+        yield Index([r["i"] for r in rows], [r["t"] for r in rows])
+
+
+def _n_blocks(benchmark: DataFrame, text_col: str, block_chars: int) -> int:
+    return max(1, -(-(benchmark.agg(F.sum(F.length(text_col))).head()[0] or 0) // block_chars))
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """For each document row: its number of words, the hit word spans (merged, ends exclusive) and the occurring items."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = []
-    several = (benchmark.agg(F.sum(F.length(item_text_col))).head()[0] or 0) > block_chars
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        parts.append(rows.mapInArrow(_scan(shared, several), _SPANS))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    several = _n_blocks(benchmark, item_text_col, block_chars) > 1
+    parts = [rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index), several), _SPANS) for index in _blocks(benchmark, item_col, item_text_col, block_chars)]
     if len(parts) == 1:
         return parts[0]
     # rows with a hit in some block; n_words and the rows themselves from the first block
@@ -142,28 +163,25 @@ def _scan(shared, keys: bool):
     """Spans of a block in each text; keys: with the text's hash, to find the row again in another block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        index = shared.value
         for batch in batches:
             data, offs = arrow_buffer(batch.column(1))
             for i, j in row_slices(offs):
                 words, ptr = hash_words(data, offs[i : j + 1])
-                found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-                spans = list(index.spans(words, ptr))
-                rows = np.searchsorted(ptr, [s for s, _, _ in spans], "right") - 1
-                for t, (start, end, item) in zip(rows.tolist(), spans, strict=True):
-                    at, items = found.setdefault(t, ([], set()))
-                    at.append((start - int(ptr[t]), end - int(ptr[t])))
-                    if index.ids[item] is not None:  # hit words count, but there is no name to list
-                        items.add(index.ids[item])
-                merged = [_merge(found[t][0]) if t in found else [] for t in range(j - i)]
+                hit, text, item = index.hits(words, ptr)
+                names: dict[int, set[str]] = {}
+                for t, k in zip(text.tolist(), item.tolist(), strict=True):
+                    if index.ids[k] is not None:  # hit words count, but there is no name to list
+                        names.setdefault(t, set()).add(index.ids[k])
+                spans = [_runs(hit[a:b]) if a < b and hit[a:b].any() else _NONE for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
-                        pa.array([hashlib.sha256(data[offs[i + t] : offs[i + t + 1]]).hexdigest() if keys else "" for t in range(j - i)]),
+                        pa.array([hashlib.sha256(data[offs[i + t] : offs[i + t + 1]]).hexdigest() if keys else "" for t in range(j - i)], pa.string()),
                         pa.array(np.diff(ptr)),
-                        pa.array([[s for s, _ in m] for m in merged], pa.list_(pa.int64())),
-                        pa.array([[e for _, e in m] for m in merged], pa.list_(pa.int64())),
-                        pa.array([sorted(found[t][1]) if t in found else [] for t in range(j - i)], pa.list_(pa.string())),
+                        pa.array([s for s, _ in spans], pa.list_(pa.int64())),
+                        pa.array([e for _, e in spans], pa.list_(pa.int64())),
+                        pa.array([sorted(names.get(t, ())) for t in range(j - i)], pa.list_(pa.string())),
                     ],
                     names=["doc_id", "text_key", "n_words", "starts", "ends", "items"],
                 )
@@ -171,6 +189,15 @@ def _scan(shared, keys: bool):
     return run
 
 
+_NONE = (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of hit words."""
+    step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return np.flatnonzero(step > 0), np.flatnonzero(step < 0)
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -201,29 +228,24 @@ def _judged(spans: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, with all their columns, whose text is not contaminated. One block needs no shuffle."""
     names = {"id_col": id_col, "text_col": text_col, "block_chars": block_chars}
-    total = benchmark.agg(F.sum(F.length("text"))).head()[0] or 0
-    if total > block_chars:
-        bad = _judged(find_spans(docs, benchmark, **names)).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-        return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad_id")) & (key == F.col("__bad_key")), "left_anti")
-    ids, texts = next(_blocks(benchmark, "item_id", "text", block_chars))
-    shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+    if _n_blocks(benchmark, "text", block_chars) > 1:
+        bad_id, bad_key = free_name("bad_id", docs.columns), free_name("bad_key", docs.columns)
+        bad = _judged(find_spans(docs, benchmark, **names)).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+        key = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+        return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[bad_id]) & (key == bad[bad_key]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, "item_id", "text", block_chars)))
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        index = shared.value
         for batch in batches:
             data, offs = arrow_buffer(batch.column(where))
             keep = np.ones(batch.num_rows, bool)
             for i, j in row_slices(offs):
                 words, ptr = hash_words(data, offs[i : j + 1])
-                hit = np.zeros(len(words) + 1, np.int64)
-                for start, end, _ in index.spans(words, ptr):
-                    hit[start] += 1
-                    hit[end] -= 1
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+                covered = np.concatenate([[0], np.cumsum(index.hits(words, ptr)[0])])
                 n_hit = covered[ptr[1:]] - covered[ptr[:-1]]
                 keep[i:j] = ~((n_hit > 0) & (20 * n_hit >= np.diff(ptr)))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -67,3 +67,24 @@ def test_empty_tables(spark):
     got = dc.contamination(docs_frame(spark), none).collect()
     assert len(got) == len(ODD_DOCS) and not any(r["contaminated"] for r in got)
     assert dc.contamination(docs_frame(spark, []), none).collect() == []
+
+
+def test_one_repeated_word_is_linear(spark):
+    import time
+
+    index = dc.Index(["a", "b"], ["same " * 20_000, "same " * 12 + "other"])
+    words, ptr = dc.hash_words(*dc.buffer_of([b"same " * 300_000, b"same " * 12, b"same " * 14]))
+    began = time.time()
+    hit, text, item = index.hits(words, ptr)
+    assert time.time() - began < 5
+    assert hit[:300_000].all() and not hit[300_000:300_012].any() and hit[300_012:].all()
+    assert list(zip(text.tolist(), item.tolist(), strict=True)) == [(0, 0), (2, 0)]
+
+
+def test_clashing_names_on_both_paths(spark):
+    rows, items = cases()
+    docs = docs_frame(spark, rows).selectExpr("*", "1 AS bad_id", "2 AS bad_key", "3 AS m_id", "4 AS text_key")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    kept = [dc.remove_contaminated(docs, benchmark, block_chars=n) for n in (1 << 20, 900)]
+    assert kept[0].columns == kept[1].columns == docs.columns
+    assert sorted(r["text"] or "" for r in kept[0].collect()) == sorted(r["text"] or "" for r in kept[1].collect())
