@@ -2,21 +2,27 @@
 
 A byte-pair encoding is fixed by its adjacent pairs: a sequence of pieces is the
 encoding of a text if each piece and each two neighbours are the encodings of their
-own strings. So the last piece of every prefix follows from the last pieces of the
-prefixes up to one piece length before it, and a machine that reads one code point at
-a time needs to remember only those: its state is that window, and its transition
-carries the change of the token count. States and transitions are made when first
-met and kept in tables. No piece spans the border between a word and a following
-space mark, so the mark after a word leads back to the start: there the transducer
-forgets what it read.
-
-A text is cut into chunks. The map of a chunk sends a state to a state and a count;
+own strings. So the last piece of every prefix follows from the last pieces of
+earlier prefixes, and a machine that reads one code point at a time needs to remember
+only the places where a piece may still begin: those after which the text so far is
+the beginning of a piece. A state is these places, each with the piece before it and
+the tokens between it and here; a transition reads a code point and emits the change
+of the token count, which the state that it leads to carries. The machine is compiled
+by spelling every piece of the vocabulary from the start; transitions that the
+vocabulary alone does not show (pieces after other pieces) are added when first met.
+No piece spans the border between a word and a following space mark, so the mark after
+a word leads back to the start: there the transducer forgets what it read.
+
+Every text is cut into chunks. The map of a chunk sends a state to a state and a count;
 it is kept as the part before its first border (still to be run from the state it
 meets), the count after it and the end state, which no longer depends on the start.
-Maps compose associatively and are folded pairwise, as in a parallel prefix scan.
+Maps compose associatively and are folded pairwise, as in a parallel prefix scan. Each
+code point is read by one transition.
 
 Defined cases: a null text is empty and has no tokens; control strings of the
-vocabulary are plain text; code points outside the vocabulary count a token a byte.
+vocabulary are plain text; code points outside the vocabulary count a token a byte;
+null and repeated ids are rows like others; a long text needs memory for its text and
+a chunk; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +30,22 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import attrgetter, getitem
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.storage import bounded
+
 SPACE = "▁"
-CHUNK = 1 << 15
-MEMO = 400_000
-STATES = 100_000
+CHUNK = 1 << 12
+#: A machine that has grown beyond so many states is compiled anew.
+STATES = 250_000
+_BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+_emitted = attrgetter("emits")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -85,29 +97,35 @@ def read_pieces(model: bytes) -> dict[str, float]:
     return pieces
 
 
-class CountTransducer:
-    """States 0.. with transitions (state, code point) -> (state, tokens added); state 0 is the start."""
+class State(dict):
+    """Code points to the next states. key: the text since the first open place; (length, piece before, tokens since) of each open place, the nearest last; the tokens emitted on entry."""
+
+    __slots__ = ("machine", "key", "emits")
+
+    def __missing__(self, char: str) -> State:
+        return self.machine.extend(self, char)
 
+
+#: The map of a chunk: the part before its first border, the count after it, the end state (None without a border).
+ChunkMap = tuple[str, int, State | None]
+
+
+class CountTransducer:
     def __init__(self, model: bytes):
         self.scores = read_pieces(model)
-        self.longest = max(map(len, self.scores))
-        self._ends: dict[str, bool] = {}  # pieces, and the endings of pieces
-        for piece in self.scores:
-            for i in range(1, len(piece)):
-                self._ends.setdefault(piece[i:], False)
-        for piece in self.scores:
-            self._ends[piece] = True
-        self._pairs: dict[tuple[str, str], bool] = {}
         self._solid: dict[str, bool] = {}
-        self.reset()
+        self.opened = {piece[:i] for piece in self.scores if self._whole(piece) for i in range(1, len(piece))}  # beginnings of pieces
+        self.steps = 0
+        self.compile()
 
-    def reset(self) -> None:
-        # a state: the last code points, and for each prefix end among them its last piece and its count below the newest
-        self.states: list[tuple[str, tuple[str, ...], tuple[int, ...], bool]] = [("", (), (), True)]
-        self._number: dict[tuple, int] = {self.states[0]: 0}
-        self._next: dict[tuple[int, str], tuple[int, int]] = {}
-        self._pairs.clear()
-        self.words: dict[str, int] = _Words(self)
+    def compile(self) -> None:
+        """The states and transitions that spell the vocabulary."""
+        self.states: dict[tuple, State] = {}
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self.start = self._state("", ((0, "", 0),), 0)
+        for piece in self.scores:
+            self.run(self.start, piece if piece[0] == SPACE else SPACE + piece)
+        self.steps = 0
 
     def encode(self, text: str) -> list[str]:
         """Merges in order of score, leftmost first; only for strings of about two pieces."""
@@ -125,7 +143,9 @@ class CountTransducer:
 
     def _whole(self, piece: str) -> bool:
         if (known := self._solid.get(piece)) is None:
-            known = self._solid[piece] = len(piece) == 1 or (piece in self.scores and self.encode(piece) == [piece])
+            known = len(piece) == 1 or (piece in self.scores and self.encode(piece) == [piece])
+            if piece in self.scores:
+                self._solid[piece] = known
         return known
 
     def _joint(self, a: str, b: str) -> bool:
@@ -136,150 +156,72 @@ class CountTransducer:
     def _cost(self, piece: str) -> int:
         return 1 if piece in self.scores else len(piece.encode("utf-8", "surrogatepass"))
 
-    def step(self, state: int, char: str) -> tuple[int, int]:
-        if (known := self._next.get((state, char))) is not None:
-            return known
-        text, lasts, below, at_start = self.states[state]
-        if char == SPACE and text and text[-1] != SPACE:
-            text, lasts, below, at_start = self.states[0]
+    def _state(self, text: str, places: tuple, emits: int) -> State:
+        key = (text, places, emits)
+        if (state := self.states.get(key)) is None:
+            state = self.states[key] = State()
+            state.machine, state.key, state.emits = self, key, emits
+        return state
+
+    def extend(self, state: State, char: str) -> State:
+        """The transition from the state by the code point, added to the machine."""
+        text, places, _ = state.key
+        if char == SPACE and state is not self.start and not text.endswith(SPACE):
+            new = state[char] = self.start[char]
+            return new
         text += char
         n = len(text)
-        found, before = [n - 1], n - 1
-        while before >= 0 and (is_piece := self._ends.get(text[before:])) is not None:
-            if is_piece and before < n - 1:
-                found.append(before)
-            before -= 1
-        for before in reversed(found):
-            piece = text[before:]
-            if not self._whole(piece) or (before == 0 and not at_start) or (before and not self._joint(lasts[before - 1], piece)):
-                continue
-            count = self._cost(piece) + (below[before] if below else 0)
-            break
+        for length, before, since in places:  # the piece that ends here begins at one of the open places
+            piece = text[n - length - 1 :]
+            if (length == 0 or (piece in self.scores and self._whole(piece))) and (not before or self._joint(before, piece)):
+                change = since + self._cost(piece)
+                break
         else:
             raise AssertionError("no piece ends here")
-        # below[k]: count of the prefix of length k, less that of the newest prefix
-        change = count
-        below = (*(b - change for b in (below or (0,))), 0)
-        lasts = (*lasts, piece)
-        if n > self.longest:
-            drop = n - self.longest
-            text, lasts, below, at_start = text[drop:], lasts[drop:], below[drop:], False
-        new = (text, lasts, below, at_start)
-        number = self._number.get(new)
-        if number is None:
-            number = self._number[new] = len(self.states)
-            self.states.append(new)
-        self._next[state, char] = number, change
-        return number, change
-
-    def run(self, state: int, text: str) -> tuple[int, int]:
+        still = [(length + 1, before, since - change) for length, before, since in places if text[n - length - 1 :] in self.opened]
+        new = state[char] = self._state(text[n - still[0][0] :] if still else "", (*still, (0, piece, 0)), change)
+        return new
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The state after the text and the tokens emitted on the way."""
         total = 0
-        for char in text:
-            state, change = self.step(state, char)
-            total += change
+        for i in range(0, len(text), CHUNK):
+            path = list(accumulate(text[i : i + CHUNK], getitem, initial=state))
+            total += sum(map(_emitted, path)) - state.emits
+            state = path[-1]
+        self.steps += len(text)
         return state, total
 
-    def count_word(self, word: str) -> int:
-        """run(0, word) without keeping the states in between."""
-        n = len(word)
-        if n > 64:
-            return self.run(0, word)[1]
-        lasts, counts = [""], [0]
-        ends, pairs = self._ends, self._pairs
-        for end in range(1, n + 1):
-            begin, found = end - 1, []
-            while begin >= 0 and (is_piece := ends.get(word[begin:end])) is not None:
-                if is_piece:
-                    found.append(begin)
-                begin -= 1
-            if not found:  # a code point outside the vocabulary
-                lasts.append(word[end - 1])
-                counts.append(counts[end - 1] + self._cost(word[end - 1]))
-                continue
-            for begin in reversed(found):  # noqa: B020
-                piece = word[begin:end]
-                if begin:
-                    if (joint := pairs.get((lasts[begin], piece))) is None:
-                        joint = self._joint(lasts[begin], piece)
-                    if not joint:
-                        continue
-                if self._whole(piece):
-                    lasts.append(piece)
-                    counts.append(counts[begin] + self._cost(piece))
-                    break
-            else:
-                lasts.append(word[end - 1])
-                counts.append(counts[end - 1] + self._cost(word[end - 1]))
-        return counts[n]
-
-    # maps of chunks: (part before the first border, count after it, end state or None without a border)
-
-    def chunk_map(self, text: str) -> tuple[str, int, int | None]:
-        """The map of a chunk of marked text."""
-        first = re.search(f"(?<=[^{SPACE}]){SPACE}", text)
-        if first is None:
+    def chunk_map(self, text: str) -> ChunkMap:
+        if len(self.states) > STATES:
+            self.compile()
+        if (first := _BORDER.search(text)) is None:
             return text, 0, None
-        last = max(m.start() for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", text))
-        state, open_count = self.run(0, text[last:])
-        return text[: first.start()], self.count_marked(text[first.start() : last]) + open_count, state
+        state, count = self.run(self.start, text[first.start() :])
+        return text[: first.start()], count, state
 
-    def compose(self, a: tuple[str, int, int | None], b: tuple[str, int, int | None]) -> tuple[str, int, int | None]:
+    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         if a[2] is None:
             return a[0] + b[0], b[1], b[2]
         state, count = self.run(a[2], b[0])
         return a[0], a[1] + count + b[1], state if b[2] is None else b[2]
 
-    def count_marked(self, text: str) -> int:
-        """Tokens of marked text that begins and ends at a border."""
-        return sum(self.words[unit] for unit in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", text))
-
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if len(text) > CHUNK:
-            marked = SPACE + text.replace(" ", SPACE)
-            maps = [self.chunk_map(marked[i : i + CHUNK]) for i in range(0, len(marked), CHUNK)]
-            while len(maps) > 1:
-                maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-            head, count, _ = maps[0]
-            return self.run(0, head)[1] + count
-        split = text.replace("\n", " \n")
-        if "  " in split or split[0] == " " or split[-1] == " " or SPACE in split or self._glued_newline():
-            return self.count_marked(SPACE + text.replace(" ", SPACE))
-        return sum(map(self.words.__getitem__, split.split(" ")))
-
-    def _glued_newline(self) -> bool:
-        if not hasattr(self, "_glued"):
-            self._glued = any("\n" in p and len(p) > 1 for p in self.scores)
-        return self._glued
-
-
-class _Words(dict):
-    """Composed transitions: what a whole word adds from the start on; a key without a mark gets one, but after a newline.
-
-    Two generations of at most MEMO words each bound the table; a word in use survives.
-    """
-
-    def __init__(self, machine: CountTransducer):
-        super().__init__()
-        self.machine, self.old = machine, {}
-
-    def __missing__(self, word: str) -> int:
-        if (count := self.old.get(word)) is None:
-            count = self.machine.count_word(word if word[:1] in (SPACE, "\n") else SPACE + word)
-        if len(word) <= 64:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[word] = count
-        return count
+        marked = SPACE + text.replace(" ", SPACE)
+        maps = [self.chunk_map(marked[i : i + CHUNK]) for i in range(0, len(marked), CHUNK)]
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        head, count, _ = maps[0]
+        return self.run(self.start, head)[1] + count
 
 
 _machine: dict[int, CountTransducer] = {}
 
 
 def _compiled(model: bytes) -> CountTransducer:
-    """One machine a worker process, with what it has learnt."""
+    """One machine a worker process, with what it has learnt; bounded by STATES."""
     key = hash(model)
     if key not in _machine:
         _machine.clear()
@@ -294,13 +236,9 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _compiled(model.value)
         for batch in batches:
-            counts = []
-            for text in batch.column(2).to_pylist():
-                if len(machine.states) > STATES or len(machine._pairs) > MEMO:
-                    machine.reset()
-                counts.append(machine.count(text))
+            counts = [machine.count(text) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -41,6 +41,41 @@ def test_chunk_maps_compose_associatively():
     assert left == right
 
 
+def test_every_code_point_takes_one_transition(monkeypatch):
+    own = tokencount.CountTransducer(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    for text in ["word", "some words here", "x" * 20_000, prose(random.Random(9), 30_000), "\n" * 50]:
+        own.steps = 0
+        own.count(text)
+        assert own.steps == len(text) + 1  # and the leading mark
+
+
+def test_a_machine_that_grows_is_compiled_anew(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, library = tokencount.CountTransducer(open(path, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(tokencount, "STATES", len(own.states) + 200)
+    rng, most = random.Random(10), 0
+    for _ in range(30):
+        text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 15))) for _ in range(60))
+        assert own.count(text) == len(library.encode(text))
+        most = max(most, len(own.states))
+    assert most > tokencount.STATES > len(own.states) - 600
+
+
+def test_whole_documents_as_the_library():
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    table = pytest.importorskip("pathlib").Path("/root/testdata/sf0.01/documents.parquet")
+    if not table.exists():
+        pytest.skip("no test data")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, library = tokencount.CountTransducer(open(path, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in pq.read_table(table, columns=["text"]).column(0).to_pylist():
+        assert own.count(text or "") == len(library.encode(text or ""))
+
+
 def test_count_tokens(spark):
     import sentencepiece
 
