@@ -9,7 +9,10 @@ byte; likeness() removes the chance agreement 2**-BITS of such short values.
 
 Defined cases: a null text is empty. An empty text has the empty fingerprint, which
 is like itself (1) and unlike all others (0). A text of fewer than 5 words has one
-shingle. Equal texts have equal fingerprints.
+shingle. Equal texts have equal fingerprints. Null and repeated ids are rows like
+others. Texts are read whole; a task holds about as much text as its longest one and
+the tables of a few thousand rows, also where texts are empty. An empty table gives no
+rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.storage import bounded
 from gridloom.llm.textops import arrow_buffer, buffer_of, mix64, row_slices, shingles
 
 SHINGLE_WORDS, BINS, BITS = 5, 512, 4
@@ -79,52 +84,72 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 prints = [p.tobytes() if offs[i + k + 1] > offs[i + k] else b"" for k, p in enumerate(packed)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(prints, pa.binary())], names=["id", "fingerprint"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint binary")
 
 
 _LEAST = -(1 << 63)
-_BY_NEXT = "bucket int, ahead boolean, doc_id long, key long, text string"
+_ROWS, _CHARS = 2048, 600_000
+_BY_NEXT = "bucket int, ahead boolean, doc_id long, key long, tie long, text string"
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+class Ranges:
+    """Ranges of (key, tie), by their lower bounds. A key that fills several quantiles is split by tie, which is a hash."""
+
+    def __init__(self, quantiles: list[int]):
+        keys, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.keys = np.repeat(keys, times)
+        self.hot = {int(k): np.array([_LEAST + i * ((1 << 64) // int(n)) for i in range(int(n))], np.int64) for k, n in zip(keys, times, strict=True) if n > 1}
+
+    def of(self, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.keys, key, "left").astype(np.int32)
+        single = np.isin(key, self.keys)
+        out[single] += 1
+        for k, bounds in self.hot.items():
+            at = np.flatnonzero(key == k)
+            out[at] += (np.searchsorted(bounds, tie[at], "right") - 1).astype(np.int32)
+        return out
+
+
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit by the next text (ascending id; the first follows the last).
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next text.
     Rows are dealt to ranges of ids, one range a partition; the first row of each range is
     also sent to the range before it, so no task needs more than its own range. Texts are
-    shuffled once. Null ids come first; rows of equal ids follow each other by text.
+    shuffled once. Null ids come first; rows of equal ids follow each other in the order of
+    a hash of their texts, and an id with very many rows is dealt over several ranges by it.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.select(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100_000).alias("cuts")).head()[0] if parts > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
-    deal = F.pandas_udf(lambda key: _bucket(key, bounds), "int")
+    ranges = Ranges(cuts or [])
+    tie = F.col("tie") if ranges.hot else F.lit(0).cast("long")  # texts are read here only where a hot id needs it
+
+    @F.pandas_udf("int")
+    def deal(key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(key.to_numpy(), tie.to_numpy()))
+
     # one row a range, so at most one a partition: small whatever the input
-    heads = sorted((r["bucket"], r["head"]) for r in rows.select(deal("key").alias("bucket"), "key").groupBy("bucket").agg(F.min("key").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    heads = sorted((r["bucket"], r["head"]) for r in rows.select("key", tie.alias("tie")).select(deal("key", "tie").alias("bucket"), F.struct("key", "tie").alias("place")).groupBy("bucket").agg(F.min("place").alias("head")).collect())
+    before = {tuple(head) if ranges.hot else (head["key"],): heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    names = [c.split()[0] for c in _BY_NEXT.split(", ")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys = np.array(sorted(before), np.int64)
+        head_keys = np.unique(np.array([h[0] for h in before], np.int64))
         for batch in batches:
-            key = batch.column(1).to_numpy()
-            own = np.searchsorted(bounds, key, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(key), bool)), batch.column(0), batch.column(1), batch.column(2)], names=["bucket", "ahead", "doc_id", "key", "text"])
-            at = np.flatnonzero(np.isin(key, head_keys))
-            if len(at):
-                part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array([before[k] for k in key[at]], pa.int32()), pa.array(np.ones(len(at), bool)), *part.columns], names=["bucket", "ahead", "doc_id", "key", "text"])
+            key, tie = (batch.column(k).to_numpy() for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(key, tie)), pa.array(np.zeros(len(key), bool)), *batch.columns], names=names)
+            at = [k for k in np.flatnonzero(np.isin(key, head_keys)).tolist() if ((key[k], tie[k]) if ranges.hot else (key[k],)) in before]
+            if at:
+                to = [before[(key[k], tie[k]) if ranges.hot else (key[k],)] for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.ones(len(at), bool)), *batch.take(pa.array(at)).columns], names=names)
 
     dealt = rows.mapInArrow(spread, _BY_NEXT).repartitionById(parts, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", "ahead", "key", "text").mapInArrow(_edit_rows, _RESULT)
-
-
-def _bucket(key, bounds):
-    import pandas as pd
-
-    return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype("int32"))
+    return dealt.sortWithinPartitions("bucket", "ahead", "key", "tie", "text").mapInArrow(_edit_rows, _RESULT)
 
 
 def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +157,12 @@ def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, bool, int | None, str]] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 5)), strict=True):
             if held and held[-1][1] and row[1] and held[-1][0] == row[0]:
                 continue  # more rows of the head's id: the first one is next
             held.append(row)
             size += len(row[3])
-            if size > 600_000:
+            if size > _CHARS or len(held) > _ROWS:
                 yield _emit(held)
                 held, size = held[-1:], len(row[3])
     if len(held) > 1:

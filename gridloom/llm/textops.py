@@ -183,10 +183,11 @@ def arrow_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
 
 
-def row_slices(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about limit bytes each."""
+def row_slices(offsets: np.ndarray, limit: int = BLOCK_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of about limit bytes and at most so many rows each."""
     i = 0
     while i < len(offsets) - 1:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = min(j, i + rows)
         yield i, j
         i = j

@@ -88,3 +88,34 @@ def test_fingerprint_of_each_row(spark):
     got = fp.fingerprint(docs_frame(spark)).collect()
     assert len(got) == len(ODD_DOCS)
     assert {len(r["fingerprint"]) for r in got} == {0, 256}
+
+
+def test_an_id_with_most_rows_is_dealt_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(None, prose(rng, 12), "s") for _ in range(150)] + [(7, prose(rng, 12), "s") for _ in range(100)] + [(i, prose(rng, 12), "s") for i in range(50)]
+    docs = docs_frame(spark, rows)
+    got = fp.compare_edited(docs)
+    sizes = [r["count"] for r in got.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 150  # the null id alone has 150 rows
+    ties = {r["text"]: r["tie"] for r in docs.selectExpr("text", "xxhash64(text) AS tie").collect()}
+    order = sorted((d is not None, d or 0, ties[t], t) for d, t, _ in rows)
+    want = []
+    for (known, doc, _, text), (_, _, _, then) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        want.append((doc if known else None, len(text), hashlib.sha256((text[: len(text) - half] + then[:half]).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_empty_texts_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in fp._BY_NEXT.split(", ")]
+    n = 100_000
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, ([0] * 10_000, [False] * 10_000, list(range(a, a + 10_000)), list(range(a, a + 10_000)), [0] * 10_000, [""] * 10_000), strict=True))) for a in range(0, n, 10_000)]
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in fp._edit_rows(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n - 1 and peak < 100 << 20
