@@ -53,6 +53,18 @@ def test_removal_matches_brute_force(spark, broadcast_lines, min_sites):
     assert sum(len(r["removed"]) for r in got) > 50
 
 
+@pytest.mark.parametrize("broadcast_lines", [1000, 0])
+def test_clashing_names(spark, broadcast_lines):
+    rows = corpus()
+    docs = docs_frame(spark, rows).selectExpr("*", "'x' AS Removed", "'y' AS gone", "'z' AS gone_id", "1 AS h", "2 AS pos", "3 AS site")
+    cleaned = lines.remove_boilerplate(docs, min_sites=4, broadcast_lines=broadcast_lines)
+    assert cleaned.columns == [*docs.columns, "removed_"]
+    got = cleaned.collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == brute(rows, 4)
+    assert {(r["Removed"], r["gone"], r["gone_id"]) for r in got} == {("x", "y", "z")}
+    assert sum(r["n_removed"] for r in lines.summary(cleaned).collect()) > 50
+
+
 def test_near_threshold_lines_are_exact(spark):
     rows = [(i, "a line on so many sites", f"site{i}") for i in range(9)] + [(100 + i, "another line that is wider spread", f"site{i}") for i in range(10)]
     found = lines.boilerplate(docs_frame(spark, rows), min_sites=10).collect()
