@@ -5,16 +5,21 @@ that occur more in toxic than in clean labelled documents by the likelihood rati
 In the labelled sentences each identity term is swapped for another of its group, and
 the fit penalises the change of score (COUNTERFACTUAL), so that the mention of a
 group alone does not move it. The fit uses at most TRAIN_ROWS labelled documents and
-MAX_FEATURES features; executors count and select, the driver fits small matrices.
+MAX_FEATURES features, those of the highest likelihood ratio of all; executors count,
+select and sum up the swaps, the driver fits matrices of that size, whatever the
+lengths of the texts.
 
 Defined cases: a null or empty text has no features and gets the intercept's score;
-texts are read whole; without labels of both kinds every score is the share of
-toxic labels with one of each added.
+texts are read whole; null and repeated ids are scored row by row, and null ids are not
+learnt from; without labels of both kinds every score is the share of toxic labels with
+one of each added; an empty table gives no rows; columns other than id and text are
+not read, and remove_toxic passes them on.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.learning import fold, minimise, sample_labelled, sigmoid
-from gridloom.llm.storage import cut
+from gridloom.llm.storage import bounded, cut
 from gridloom.llm.textops import arrow_buffer, buffer_of, hash_words, row_slices
 
-TRAIN_ROWS, MAX_FEATURES, MIN_DOCS = 8000, 1024, 3
+TRAIN_ROWS, MAX_FEATURES, MIN_DOCS, LEAST_RATIO = 8000, 1024, 3, 6.6
 PREFIXES = (4, 5, 6, 7)
 COUNTERFACTUAL, RIDGE = 4.0, 3e-5
 #: Terms of a group are swapped for each other.
@@ -78,88 +83,105 @@ class Model:
         return sigmoid(self.intercept + np.bincount(text, self.weights[feature] if len(feature) else None, minlength=len(offsets) - 1))
 
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Weights and intercept: log loss, ridge and the mean squared change of the score over swaps (rows of differences)."""
+def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, n_swaps: int, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise loss_of()."""
+    w = minimise(lambda w: loss_of(w, x, y, swaps, n_swaps, counterfactual), np.zeros(x.shape[1] + 1))
+    return w[:-1], float(w[-1])
 
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = x @ w[:-1] + w[-1]
-        error = (sigmoid(z) - y) / len(y)
-        change = swaps @ w[:-1]
-        own = np.append(w[:-1], 0)
-        value = np.mean(np.logaddexp(0, z) - y * z) + RIDGE * own @ own / 2
-        grad = np.append(x.T @ error, error.sum()) + RIDGE * own
-        if len(swaps):
-            value += counterfactual * np.mean(change**2) / 2
-            grad[:-1] += counterfactual * swaps.T @ change / len(swaps)
-        return float(value), grad
 
-    w = minimise(loss, np.zeros(x.shape[1] + 1))
-    return w[:-1], float(w[-1])
+def loss_of(w: np.ndarray, x: np.ndarray, y: np.ndarray, swaps: np.ndarray, n_swaps: int, counterfactual: float) -> tuple[float, np.ndarray]:
+    """Log loss, ridge and the mean squared change of the score over swaps, with the gradient.
+
+    swaps is the sum over the swapped sentences of the outer products of their feature changes: all that the mean square needs.
+    """
+    z = x @ w[:-1] + w[-1]
+    error = (sigmoid(z) - y) / len(y)
+    own = np.append(w[:-1], 0)
+    value = np.mean(np.logaddexp(0, z) - y * z) + RIDGE * own @ own / 2
+    grad = np.append(x.T @ error, error.sum()) + RIDGE * own
+    if n_swaps:
+        moved = swaps @ w[:-1]
+        value += counterfactual * (w[:-1] @ moved) / n_swaps / 2
+        grad[:-1] += counterfactual * moved / n_swaps
+    return float(value), grad
 
 
-def _likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+def likelihood_ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
     """Of presence in toxic and in clean documents; below zero where it speaks for clean."""
-    n, with_it = n_toxic + n_clean, toxic + clean
-    term = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0)
+    n, with_it = float(n_toxic + n_clean), toxic + clean
+
+    def term(k: Column, expected: Column) -> Column:
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+
     g = term(toxic, with_it * n_toxic / n) + term(clean, with_it * n_clean / n) + term(n_toxic - toxic, (n - with_it) * n_toxic / n) + term(n_clean - clean, (n - with_it) * n_clean / n)
-    return np.where(toxic * n_clean > clean * n_toxic, g, -g)
+    return F.when(toxic * n_clean > clean * n_toxic, g).otherwise(-g)
+
 
+def _each_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different features of each document."""
+    for batch in batches:
+        data, offs = arrow_buffer(batch.column(0))
+        y = batch.column(2).to_numpy()
+        for i, j in row_slices(offs):
+            found, ptr = features(data, offs[i : j + 1])
+            own = [np.unique(found[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+            f = np.concatenate(own)
+            label = np.repeat(y[i:j], [len(o) for o in own]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(f[f != 0].view(np.int64)), pa.array(label[f != 0])], names=["f", "y"])
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Select features by counts over the sample, then fit."""
-    sample = cut(sample_labelled(docs, labels, "toxic", learn, rows).select("text", "id", "y"))
+
+def select_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int) -> np.ndarray:
+    """Sorted hashes of the `most` features of the highest likelihood ratio, of those in MIN_DOCS toxic documents and above LEAST_RATIO."""
+    counts = sample.mapInArrow(_each_feature, "f long, y int").groupBy("f").agg(F.sum("y").cast("double").alias("toxic"), F.sum(1 - F.col("y")).cast("double").alias("clean"))
+    ratio = likelihood_ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
+    top = counts.where(F.col("toxic") >= MIN_DOCS).select("f", ratio.alias("ratio")).where(F.col("ratio") > LEAST_RATIO).orderBy(F.col("ratio").desc(), "f").limit(most).collect()
+    return np.sort(np.array([r["f"] for r in top], np.int64).view(np.uint64))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS, counterfactual: float = COUNTERFACTUAL, most: int = MAX_FEATURES) -> Model:
+    """Select features by counts over the sample, then fit. The driver gets the present features of each sampled document and, of all swapped sentences, one matrix."""
+    sample = cut(sample_labelled(bounded(docs), labels, "toxic", learn, rows).select("text", "id", "y"))
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         share = (n_toxic + 1) / (n_toxic + n_clean + 2)
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))))
+    model = Model(select_features(sample, n_toxic, n_clean, most), np.zeros(0), 0.0)
+    m = len(model.hashes)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different features of each document."""
+    def designs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Present features of each document."""
         for batch in batches:
             data, offs = arrow_buffer(batch.column(0))
-            y = batch.column(2).to_numpy()
             for i, j in row_slices(offs):
-                found, ptr = features(data, offs[i : j + 1])
-                for t in range(j - i):
-                    own = np.unique(found[ptr[t] : ptr[t + 1]])
-                    own = own[own != 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), y[i + t], np.int32))], names=["f", "y"])
-
-    counts = sample.mapInArrow(each, "f long, y int").groupBy("f").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    counts = counts.where(F.col("toxic") >= MIN_DOCS)
-    # toxic share over clean share bounds the ratio from below; the exact order is made from what is left
-    ahead = (F.col("toxic") / n_toxic) / ((F.col("clean") + 1) / n_clean) * F.log1p("toxic")
-    top = counts.orderBy(ahead.desc(), "f").limit(4 * MAX_FEATURES).collect()
-    f, toxic, clean = (np.array([r[c] for r in top]) for c in ("f", "toxic", "clean"))
-    ratio = _likelihood_ratio(toxic.astype(float), clean.astype(float), n_toxic, n_clean) if len(top) else np.empty(0)
-    best = np.argsort(-ratio, kind="stable")[:MAX_FEATURES]
-    best = best[ratio[best] > 6.6]
-    model = Model(np.sort(f[best].astype(np.int64).view(np.uint64)) if len(best) else np.empty(0, np.uint64), np.zeros(len(best)), 0.0)
+                text, feature = model.present(data, offs[i : j + 1])
+                ptr = np.searchsorted(text, np.arange(j - i + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(feature, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), lists], names=["id", "y", "present"])
 
-    def designs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Present features of each document, and of its sentences with identity terms before and after the swap."""
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the products of feature changes (cell -1: the number of sentences that change)."""
         for batch in batches:
-            rows = []
-            for text, doc, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((doc, y, model.present(*buffer_of([text.encode()]))[1].tolist(), []))
-                for before, after in swapped_sentences(text):
-                    a, b = (model.present(*buffer_of([s.encode()]))[1].tolist() for s in (before, after))
-                    if a != b:
-                        rows.append((doc, -1, a, b))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "y", "a", "b"])
-
-    got = sorted((r["y"], r["id"], r["a"], r["b"]) for r in sample.mapInArrow(designs, "id long, y int, a array<long>, b array<long>").collect())
-    plain, pairs = [r for r in got if r[0] >= 0], [r for r in got if r[0] < 0]
-    x, swaps = np.zeros((len(plain), len(best)), np.float32), np.zeros((len(pairs), len(best)), np.float32)
-    for i, r in enumerate(plain):
-        x[i, r[2]] = 1
-    for i, r in enumerate(pairs):
-        swaps[i, r[2]] += 1
-        swaps[i, r[3]] -= 1
-    model.weights, model.intercept = fit(x, np.array([r[0] for r in plain], float), swaps, counterfactual)
+            total: Counter[int] = Counter()
+            for text in batch.column(0).to_pylist():
+                for pair in swapped_sentences(text):
+                    before, after = (set(model.present(*buffer_of([s.encode()]))[1].tolist()) for s in pair)
+                    change = [(f, 1) for f in before - after] + [(f, -1) for f in after - before]
+                    total.update({-1: 1} if change else {})
+                    for f, v in change:
+                        for g, u in change:
+                            total[f * m + g] += v * u
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["cell", "v"])
+
+    got = sorted((r["id"], r["y"], r["present"]) for r in sample.mapInArrow(designs, "id long, y int, present array<long>").collect())
+    x = np.zeros((len(got), m), np.float32)
+    for i, (_, _, present) in enumerate(got):
+        x[i, present] = 1
+    swaps = np.zeros(m * m)
+    cells = {r["cell"]: r["v"] for r in sample.mapInArrow(swapped, "cell long, v long").groupBy("cell").agg(F.sum("v").alias("v")).collect()}  # at most m * m + 1
+    n_swaps = cells.pop(-1, 0)
+    swaps[list(cells)] = list(cells.values())
+    model.weights, model.intercept = fit(x, np.array([y for _, y, _ in got], float), swaps.reshape(m, m), n_swaps, counterfactual)
     return model
 
 

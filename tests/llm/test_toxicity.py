@@ -49,6 +49,61 @@ def test_swaps():
     assert list(toxicity.swapped_sentences("One. The Women came! None here.")) == [("The Women came!", "The men came!")]
 
 
+def test_loss_gradient_and_sums_over_swaps():
+    rng = np.random.default_rng(1)
+    x, y = (rng.random((40, 6)) < 0.4).astype(float), rng.integers(0, 2, 40).astype(float)
+    changes = rng.integers(-1, 2, (15, 6)).astype(float)
+    w = rng.normal(size=7)
+
+    def brute(w):
+        z = x @ w[:-1] + w[-1]
+        p = 1 / (1 + np.exp(-z))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + toxicity.RIDGE * (w[:-1] ** 2).sum() / 2 + 3.0 * np.mean((changes @ w[:-1]) ** 2) / 2
+
+    value, grad = toxicity.loss_of(w, x, y, changes.T @ changes, len(changes), 3.0)
+    assert np.isclose(value, brute(w))
+    assert np.allclose(grad, [(brute(w + d) - brute(w - d)) / 2e-5 for d in np.eye(7) * 1e-5], atol=1e-6)
+
+
+def test_selected_features_have_the_highest_ratios(spark):
+    import math
+
+    rows, labels = corpus(200)
+    y = {d: v for d, _, v in labels}
+    sample = spark.createDataFrame([(t, d, y[d]) for d, t, _ in rows], "text string, id long, y int")
+    n_toxic = sum(y.values())
+    n_clean = len(rows) - n_toxic
+    seen = {}
+    for d, t, _ in rows:
+        for f in {int(h) for h in toxicity.features(*toxicity.buffer_of([t.encode()]))[0].ravel() if h}:
+            seen.setdefault(f, [0, 0])[1 - y[d]] += 1
+
+    def ratio(k, c):
+        n, both = n_toxic + n_clean, k + c
+        cells = [(k, both * n_toxic / n), (c, both * n_clean / n), (n_toxic - k, (n - both) * n_toxic / n), (n_clean - c, (n - both) * n_clean / n)]
+        g = sum(a * math.log(a / e) for a, e in cells if a)
+        return g if k * n_clean > c * n_toxic else -g
+
+    ranked = sorted(((ratio(k, c), f) for f, (k, c) in seen.items() if k >= toxicity.MIN_DOCS), reverse=True)
+    wanted = [(r, f) for r, f in ranked if r > toxicity.LEAST_RATIO]
+    assert set(toxicity.select_features(sample, n_toxic, n_clean, 10_000).tolist()) == {f for _, f in wanted}
+    few = toxicity.select_features(sample, n_toxic, n_clean, 5).tolist()
+    assert len(few) == 5 and min(ratio(*seen[f]) for f in few) >= wanted[4][0] - 1e-9
+
+
+def test_score_is_the_logistic_of_present_features(spark):
+    from pyspark.sql import functions as F
+
+    rows, labels = corpus(200)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs_frame(spark, rows), table, F.lit(True))
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    for _, t, _ in rows[:20]:
+        own = {int(h) for h in toxicity.features(*toxicity.buffer_of([t.encode()]))[0].ravel()}
+        want = 1 / (1 + np.exp(-(model.intercept + sum(weight.get(h, 0.0) for h in own))))
+        assert np.isclose(model.scores(*toxicity.buffer_of([t.encode()]))[0], want)
+
+
 def test_removal_keeps_clean_rows_and_columns(spark):
     rows, labels = corpus()
     docs = docs_frame(spark, rows + list(ODD_DOCS))
