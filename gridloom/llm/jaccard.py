@@ -1,22 +1,30 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Documents of equal shingle sets (5 words) are one node with a number of copies. Each
-node has TREES labels of DEPTH MinHash values; a tree is the labels in sorted order,
-and a subtree is the nodes that share a prefix. Prefixes are shortened from DEPTH to
-SHALLOW values where the subtree then still has at most SMALL nodes; the full depth
-alone already meets the target recall, 1 - (1 - 0.8**6)**32 > 0.9999 for a pair at
-the threshold, so larger subtrees stay at it. Nodes that meet in a subtree form
-candidate clusters (connected through subtrees, not by pairs). Each cluster's shingle
-sets are brought together once, in blocks of bounded size, and all pairs of a
-block, or of two blocks, are compared exactly by matrix products; per node only its
-number of links and the root of its component leave the task, never the pairs.
+node has TREES labels of DEPTH MinHash values. A tree is the sorted list of its labels:
+neighbours that share a prefix of d values are a subtree of depth d of the prefix trie.
+The labels of all trees are sorted once over all tasks, and each label's matched prefix
+is shortened from DEPTH on, value by value, while the subtree has at most SMALL nodes
+and down to FLOOR. A label whose prefix can't be shortened to FULL (its subtree is too
+large, or lies at the border of two tasks) leaves its node short of recall; the sum over
+the trees says how much. Nodes that stay below TARGET, for a pair at the threshold,
+shorten all their prefixes to FULL values whatever the size of the subtrees, which meets
+it: 1 - (1 - 0.8**6)**32 > 0.9999. (Of two nodes one at least reaches the target in the
+first pass, or both are in the second.) Nodes that meet in a subtree form candidate
+clusters (connected through subtrees, not by pairs). Each cluster's shingle sets are
+brought together once, in blocks of bounded size, and all pairs of a block, or of two
+blocks, are compared exactly by matrix products; per node only its number of links and
+the root of its component leave the task, never the pairs.
 
 Result: one row a document row: class_id (least id of its component of links) and
 n_links (other rows with similarity of 4/5 or more, copies counted).
 
 Defined cases: null or empty texts are copies of each other; texts of fewer than 5
 words have one shingle, those without words one of their bytes; null ids are kept
-and count as the least id; repeated rows are copies.
+and count as the least id; repeated rows are copies, rows of one id with different texts
+are told apart by their sets; a long text is hashed by blocks and needs memory for its
+set; an empty table gives no rows; columns other than id and text are not read, and
+keep_one passes them on.
 """
 
 from __future__ import annotations
@@ -29,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.storage import cut
+from gridloom.llm.storage import bounded, cut, free_name
 from gridloom.llm.textops import arrow_buffer, mix64, row_slices, seeds, shingles
 
 SHINGLE_WORDS = 5
-TREES, DEPTH, SHALLOW, SMALL = 32, 6, 4, 64
+TREES, DEPTH, FULL, FLOOR, SMALL, TARGET, SIMILAR = 32, 8, 6, 5, 32, 0.9999, 0.8
 #: A block of a cluster holds at most about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 2048
+BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 512
+#: Subtrees of any size are met in so many parts first.
+SALTS = 64
 #: Nodes to verify are broadcast up to this many (24 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _LEAST = -(1 << 63)
@@ -75,11 +85,13 @@ def labels(hashes: np.ndarray, ptr: np.ndarray, rows: int = 2048) -> np.ndarray:
     return out
 
 
-def prefix_keys(label: np.ndarray) -> np.ndarray:
-    """For each tree the hashes of its shallow and of its full prefix: columns 2t and 2t + 1."""
-    values = mix64(label.astype(np.uint64).reshape(-1, TREES, DEPTH) + seeds(DEPTH, 23))
-    steps = np.cumsum(values * seeds(DEPTH, 24), 2) + seeds(TREES, 25)[None, :, None]
-    return np.stack([mix64(steps[:, :, SHALLOW - 1]), mix64(steps[:, :, DEPTH - 1] + np.uint64(1))], 2).reshape(-1, 2 * TREES).view(np.int64)
+def forest_labels(minima: np.ndarray) -> np.ndarray:
+    """For each tree its label of DEPTH values of 16 bits, as two numbers: columns 2t and 2t + 1."""
+    values = mix64(minima.astype(np.uint64).reshape(-1, TREES, DEPTH) + seeds(TREES * DEPTH, 23).reshape(TREES, DEPTH)) >> np.uint64(48)
+    half = DEPTH // 2
+    shift = np.uint64(16) * np.arange(half - 1, -1, -1).astype(np.uint64)
+    words = [(values[:, :, k : k + half] << shift).sum(2, dtype=np.uint64) for k in (0, half)]
+    return np.stack(words, 2).reshape(-1, 2 * TREES).view(np.int64)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,11 +99,93 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offs = arrow_buffer(batch.column(1))
         for i, j in row_slices(offs):
             hashes, ptr = shingle_sets(data, offs[i : j + 1])
-            keys = prefix_keys(labels(hashes, ptr))
+            keys = forest_labels(labels(hashes, ptr))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * 2 * TREES, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_ids(hashes, ptr)), pa.array(np.diff(ptr)), lists], names=["id", "sid", "n", "keys"])
 
 
+def common_prefix(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """How many values each label shares with the one before it (0 with one of another tree, and for the first)."""
+    out = np.zeros(len(tree), np.int64)
+    halves = [(x[1:] ^ x[:-1]).view(np.uint64) for x in (hi, lo)]
+    half, equal = DEPTH // 2, []
+    for x in halves:
+        equal.append(sum((x >> np.uint64(16 * (half - 1 - k)) == 0).astype(np.int64) for k in range(half)))
+    out[1:] = np.where(tree[1:] == tree[:-1], equal[0] + np.where(equal[0] == half, equal[1], 0), 0)
+    return out
+
+
+def missed(depth: int) -> float:
+    """Log chance that a pair at the threshold does not share a prefix of so many values."""
+    return float(np.log1p(-(SIMILAR**depth)))
+
+
+def shortened(shared: np.ndarray, sid: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depth of each label's shortened prefix (DEPTH + 1: none) and the least node of its subtree.
+
+    Subtrees that touch an end of the list are left out: they may go on in another task.
+    """
+    n = len(sid)
+    depth, hub = np.full(n, DEPTH + 1), sid.copy()
+    for d in range(FLOOR, DEPTH + 1):
+        first = np.flatnonzero(np.concatenate([[True], shared[1:] < d])) if n else np.empty(0, np.int64)
+        size = np.diff(np.append(first, n))
+        fits = size <= small
+        fits[:1] = fits[-1:] = False
+        taken = np.repeat(fits, size) & (depth > DEPTH)
+        depth[taken] = d
+        if n:
+            hub[taken] = np.repeat(np.minimum.reduceat(sid, first), size)[taken]
+    return depth, hub
+
+
+def _shorten(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted labels in; a row for each that meets others (hub) or that its node lacks for full recall (short)."""
+    context = small + 1  # rows to either side that decide a label
+    price = np.array([0.0] * (FULL + 1) + [missed(d) - missed(FULL) for d in range(FULL + 1, DEPTH + 1)] + [-missed(FULL)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, decided = [np.empty(0, np.int64)] * 4, 0
+
+        def emit(upto: int) -> pa.RecordBatch:
+            tree, hi, lo, sid = held
+            depth, hub = shortened(common_prefix(tree, hi, lo), sid, small)
+            own = slice(decided, upto)
+            depth, hub, sid = depth[own], hub[own], sid[own]
+            short = np.where(depth > FULL, price[depth], 0.0)
+            keep = (hub != sid) | (short > 0)
+            return pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(hub[keep]), pa.array(short[keep])], names=["sid", "hub", "short"])
+
+        for batch in batches:
+            held = [np.concatenate([old, new.cast(pa.int64()).to_numpy()]) for old, new in zip(held, batch.columns, strict=True)]
+            upto = len(held[0]) - context
+            if upto > decided:
+                yield emit(upto)
+                drop = max(0, upto - context)
+                held, decided = [x[drop:] for x in held], upto - drop
+        if len(held[0]) > decided:
+            yield emit(len(held[0]))
+
+    return run
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a and b: each node that meets others, with the least node of each of its subtrees. nodes: sid and keys."""
+    numbered = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.get("keys", 2 * t).alias("hi"), F.get("keys", 2 * t + 1).alias("lo")))
+    each = nodes.select("sid", F.explode(numbered).alias("k")).select("k.tree", "k.hi", "k.lo", "sid")
+    order = ("tree", "hi", "lo", "sid")
+    met = cut(each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shorten(SMALL), "sid long, hub long, short double"))
+    lacking = met.where("short > 0").groupBy("sid").agg(F.sum("short").alias("short"))
+    lacking = lacking.where(F.col("short") + TREES * missed(FULL) > F.lit(float(np.log(1 - TARGET)))).select("sid")
+    # prefixes of FULL values, whatever the size of their subtrees: parts of a subtree meet, then their least nodes
+    bits = 16 * (DEPTH - FULL)
+    keys = each.join(lacking, "sid", "left_semi").select("sid", "tree", "hi", F.shiftright("lo", bits).alias("lo"))
+    part = Window.partitionBy("tree", "hi", "lo", "salt")
+    parts = cut(keys.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS))).withColumn("hub", F.min("sid").over(part)))
+    tops = parts.groupBy("tree", "hi", "lo", "salt").agg(F.first("hub").alias("sid")).withColumn("hub", F.min("sid").over(Window.partitionBy("tree", "hi", "lo")))
+    return met.select("sid", "hub").union(parts.select("sid", "hub")).union(tops.select("sid", "hub")).where("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (least node) of each component of the edges (a, b). Least labels travel along edges and are shortened by jumps."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
@@ -190,18 +284,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id (_LEAST for null), sid, n_links, and class_id and class_sid, the least id of the class with its node, of each row."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     nodes_of = cut(rows.mapInArrow(_scan, "id long, sid long, n long, keys array<long>"))
     nodes = cut(nodes_of.groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
-    # subtrees with two nodes or more, at the shallow depth where small, else at the full one
-    each = nodes.where("n > 0").select("sid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", 2 * t).alias("s"), F.get("keys", 2 * t + 1).alias("d")))).alias("k")).select("sid", "k.s", "k.d")
-    shallow, deep = Window.partitionBy("s"), Window.partitionBy("d")
-    met = cut(each.withColumns({"size": F.count("*").over(shallow), "hub": F.min("sid").over(shallow)}).where("size > 1"))
-    narrow = met.where(F.col("size") <= SMALL).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-    wide = met.where(F.col("size") > SMALL).withColumn("hub", F.min("sid").over(deep)).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-    # a node has at most TREES hubs: it keeps the least, and links its other hubs to that one
-    hubs = narrow.union(wide).groupBy("a").agg(F.collect_set("b").alias("hubs")).withColumn("b", F.least("a", F.array_min("hubs")))
+    # a node has at most a few hubs a tree: it keeps the least, and links its other hubs to that one
+    hubs = candidates(nodes.where("n > 0")).groupBy("a").agg(F.collect_set("b").alias("hubs")).withColumn("b", F.least("a", F.array_min("hubs")))
     stars = hubs.select(F.explode(F.array_union("hubs", F.array("a"))).alias("a"), "b").where("a != b").distinct()
     clusters = components(stars)
 
@@ -210,9 +298,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     totals = members.groupBy("cid").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
     members = cut(members.join(totals, "cid"))
     wanted = members.select(F.col("first").alias("id"), "sid", "cid", "copies", "blocks")
-    if members.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, "id").select("id", "text", "sid", "cid", "copies", "blocks")
+    small = members.count() <= BROADCAST_ROWS
+    lookup = F.broadcast if small else (lambda df: df)
+    # a text is found by its id; where one id (null, or repeated) stands for several nodes, by its set as well
+    several = cut(wanted.groupBy("id").count().where("count > 1").select("id"))
+    texts = rows.join(lookup(wanted.join(lookup(several), "id", "left_anti")), "id").select("id", "text", "sid", "cid", "copies", "blocks")
+    if not several.isEmpty():
+        shared = rows.join(lookup(several), "id", "left_semi").mapInArrow(_with_node(1, "sid"), "id long, text string, sid long")
+        texts = texts.unionByName(shared.join(lookup(wanted), ["id", "sid"]).select("id", "text", "sid", "cid", "copies", "blocks"))
     sets = texts.mapInArrow(_sets_of, "cid long, i int, j int, side int, sid long, copies long, shingles binary")
     found = cut(sets.repartition("cid", "i", "j").sortWithinPartitions("cid", "i", "j").mapInArrow(_verify, "sid long, links long, root long"))
     split = members.where("blocks > 1").select("sid")
@@ -235,14 +328,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classes(docs, id_col, text_col).select(real("id").alias("doc_id"), real("class_id").alias("class_id"), "n_links")
 
 
-def _with_node(where: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _with_node(where: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows with the node of their text (column where)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = arrow_buffer(batch.column(where))
             sids = [set_ids(*shingle_sets(data, offs[i : j + 1])) for i, j in row_slices(offs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.empty(0, np.int64), *sids]))], names=[*batch.schema.names, "__sid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.empty(0, np.int64), *sids]))], names=[*batch.schema.names, name])
 
     return run
 
@@ -252,19 +345,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Most ids go or stay whole. Rows of an id of which only a part stays (ids that are null or repeated) are told apart by their nodes.
     """
+    own_id, own_node = free_name("own_id", docs.columns), free_name("own_node", docs.columns)
     stays = (F.col("id") == F.col("class_id")) & (F.col("sid") == F.col("class_sid"))
     rows = cut(_classes(docs, id_col, text_col).select("id", "sid", stays.alias("stays")))
     ids = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_if("stays").alias("kept"))
-    gone = cut(ids.where("n > 1 or kept = 0").select(F.col("id").alias("__id"), (F.col("kept") > 0).alias("__part")))
+    gone = cut(ids.where("n > 1 or kept = 0").select(F.col("id").alias(own_id), (F.col("kept") > 0).alias("part")))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
-    kept = docs.join(gone, key == F.col("__id"), "left_anti")
-    parts = gone.where("__part")
+    keyed = docs.withColumn(own_id, F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)))
+    kept = keyed.join(gone.select(own_id), own_id, "left_anti").select(*docs.columns)
+    parts = gone.where("part").select(own_id)
     if parts.isEmpty():
         return kept
-    some = docs.join(parts, key == F.col("__id"), "left_semi")
-    some = some.mapInArrow(_with_node(docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())])).withColumn("__id", key)
-    wanted = rows.where("stays").join(parts, F.col("id") == F.col("__id"), "left_semi").select(F.col("id").alias("__id"), F.col("sid").alias("__sid"))
-    some = some.join(wanted, ["__id", "__sid"], "left_semi").dropDuplicates(["__id", "__sid"])
+    some = keyed.join(parts, own_id, "left_semi").select(*docs.columns)
+    some = bounded(some).mapInArrow(_with_node(docs.columns.index(text_col), own_node), T.StructType([*docs.schema.fields, T.StructField(own_node, T.LongType())]))
+    some = some.withColumn(own_id, F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)))
+    wanted = rows.where("stays").select(F.col("id").alias(own_id), F.col("sid").alias(own_node)).join(parts, own_id, "left_semi")
+    some = some.join(wanted, [own_id, own_node], "left_semi").dropDuplicates([own_id, own_node])
     return kept.unionByName(some.select(*docs.columns))

@@ -55,13 +55,64 @@ def test_matches_brute_force(spark, monkeypatch, blocks):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["class_id"] is None else r["class_id"], r["n_links"]) for r in got) == brute(rows)
 
 
-def test_large_subtrees_use_the_full_depth(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 3)
+@pytest.mark.parametrize("small", [0, 3])
+def test_nodes_short_of_recall_shorten_all_prefixes(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
     rows = corpus()
     got = jaccard.near_duplicates(docs_frame(spark, rows)).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["class_id"] is None else r["class_id"], r["n_links"]) for r in got) == brute(rows)
 
 
+def sorted_labels(n, seed=6):
+    """Labels of few different values, as tree, hi, lo, sid in order, and their values."""
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([np.sort(rng.integers(0, 2, (n, 3)), 0), rng.integers(0, 2, (n, jaccard.DEPTH - 3))], 1)
+    tree, sid = np.sort(rng.integers(0, 3, n)), rng.permutation(n) + 1
+    shift = 16 * np.arange(3, -1, -1)
+    hi, lo = (values[:, :4] << shift).sum(1), (values[:, 4:] << shift).sum(1)
+    order = np.lexsort((sid, lo, hi, tree))
+    return tree[order], hi[order], lo[order], sid[order].astype(np.int64), values[order]
+
+
+def test_prefixes_are_shortened_while_subtrees_are_small():
+    tree, hi, lo, sid, values = sorted_labels(300)
+    shared = jaccard.common_prefix(tree, hi, lo)
+    for i in range(1, 300):
+        same = np.cumprod(values[i] == values[i - 1]).sum() if tree[i] == tree[i - 1] else 0
+        assert shared[i] == same
+    depth, hub = jaccard.shortened(shared, sid, 4)
+    for i in range(300):
+        want, least = jaccard.DEPTH + 1, sid[i]
+        for d in range(jaccard.DEPTH, jaccard.FLOOR - 1, -1):  # value by value
+            own = np.flatnonzero((tree == tree[i]) & (values[:, :d] == values[i, :d]).all(1))
+            if len(own) > 4:
+                break
+            if own[0] > 0 and own[-1] < 299:
+                want, least = d, sid[own].min()
+        assert (depth[i], hub[i]) == (want, least)
+
+
+def test_batches_of_labels_do_not_matter():
+    import pyarrow as pa
+
+    columns = sorted_labels(400)[:4]
+    runs = []
+    for step in (400, 57, 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + step]) for c in columns], names=["tree", "hi", "lo", "sid"]) for a in range(0, 400, step)]
+        runs.append([tuple(r.values()) for b in jaccard._shorten(5)(iter(batches)) for r in b.to_pylist()])
+    assert runs[0] == runs[1] == runs[2] and runs[0]
+
+
+def test_texts_of_one_id_meet_their_nodes_alone(spark):
+    rng = random.Random(8)
+    base = [prose(rng, 60, 3000) for _ in range(30)]
+    rows = [(None, t, "s") for t in base] + [(None, t + " more", "s") for t in base] + [(7, t + " again", "s") for t in base[:10]]
+    docs = docs_frame(spark, rows)
+    got = jaccard.near_duplicates(docs).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["class_id"] is None else r["class_id"], r["n_links"]) for r in got) == brute(rows)
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = docs_frame(spark, rows)
