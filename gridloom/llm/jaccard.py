@@ -43,7 +43,7 @@ from gridloom.llm.textops import arrow_buffer, mix64, row_slices, seeds, shingle
 SHINGLE_WORDS = 5
 TREES, DEPTH, FULL, FLOOR, SMALL, TARGET, SIMILAR = 32, 8, 6, 5, 32, 0.9999, 0.8
 #: A block of a cluster holds at most about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 512
+BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 256
 #: Subtrees of any size are met in so many parts first.
 SALTS = 64
 #: Nodes to verify are broadcast up to this many (24 bytes each), else joined by a shuffle.
