@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, decontamination, packing.
+
+Defined cases, in every stage: a null text is kept as it is and counts as empty; rows with null or repeated ids are judged each by
+its own text; texts are read whole, whatever their length; empty tables give no rows; further columns of documents pass through
+the filtering stages unchanged, whatever their names. Near duplicates: of rows with equal ids and equal texts one stays. Toxicity
+without labels of both kinds keeps the documents if fewer than half of the labels are toxic (one of each kind added).
+"""
 
 from __future__ import annotations
 
@@ -15,9 +21,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines stay only where they occur first; n_chars follows the text."""
-    cleaned = lines.remove_boilerplate(docs)
-    changed = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", changed).select(*docs.columns)
+    cleaned = lines.remove_boilerplate(docs)  # its last column has the places of the removed lines
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.size(cleaned.columns[-1]) > 0, changed).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
 
-#: Neither the classifier nor the packing can be written in SQL; tests hold the stages against brute force.
+#: Neither the classifier nor the packing can be written in SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
