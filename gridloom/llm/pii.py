@@ -1,7 +1,7 @@
 """Personal data by patterns, checksums and context, in DataFrame operations only.
 
 Each kind has a pattern that proposes spans, a validator that confirms them (Luhn for
-card numbers, mod 97 for account numbers, ranges for the rest) and a score that words
+card numbers, mod 97 for account numbers, ranges or character classes for the rest) and a score that words
 nearby raise or lower. Spans of the base kinds that pass their validator stay
 whatever their score; spans of the added kinds need THRESHOLD and must not overlap a
 base span.
@@ -12,7 +12,9 @@ starts, so the time is linear in the text, also where nothing matches; each patt
 is run only on texts with a character that it needs.
 
 Defined cases: a null text is empty and has no spans; positions count code points;
-kinds are searched apart, so spans of two base kinds may overlap.
+kinds are searched apart, so spans of two base kinds may overlap; null and repeated
+ids are rows like others; texts are searched whole, in time linear in their length; an
+empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -74,6 +76,11 @@ def _is_card(m: Column) -> Column:
     return F.when(_within(digits(m), 14, 19), luhn(digits(m))).otherwise(False)
 
 
+def _is_secret(m: Column) -> Column:
+    """Letters and digits mixed, as in keys made at random; words and numbers alone are none."""
+    return (F.length(digits(m)) >= 4) & (F.length(F.regexp_replace(m, "[^A-Za-z]", "")) >= 4)
+
+
 def _is_ip(m: Column) -> Column:
     short = F.transform(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
     return F.forall(short, lambda p: F.when(F.length(p) <= 3, p.cast("int") <= 255).otherwise(False))
@@ -86,6 +93,7 @@ KINDS = (
     Kind("phone", r"\+[0-9](?:[\x20().-]*+[0-9])++", "+", lambda m: _within(digits(m), 10, 15), 0.7, "phone|call|mobile|tel|fax"),
     Kind("iban", r"(?:\G|(?<![A-Za-z0-9]))[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, 0.7, "iban|account|bank|konto|compte|cuenta", base=False),
     Kind("local_phone", r"(?:\G|(?<![0-9+]))(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])", "[0-9]", lambda m: F.lit(True), 0.4, "phone|call|mobile|tel|fax", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+", "(?i)token|secret|passw|key|credential|bearer|auth", _is_secret, 0.4, "token|secret|passw|key|credential|bearer|auth", base=False),
 )
 #: Words that speak against a find where they stand just before it.
 AGAINST = "version|example|sample|order no|invoice"
@@ -150,7 +158,7 @@ def listing(spans: Column) -> Column:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of their listing and the listing of all spans."""
+    """Counts of the base kinds, the digest of their listing, the listing of all spans and their number."""
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter("spans", _is_kind(k.name))).cast("long").alias(f"n_{k.name}") for k in KINDS if k.base]
-    return found.select("doc_id", *counts, F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

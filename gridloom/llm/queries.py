@@ -104,6 +104,7 @@ def _op5_sql() -> str:
         "card": r"[0-9](?:[ -]?[0-9])+",
         "phone": r"\+[0-9][ ().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+        "secret": r"[A-Za-z0-9_+/-]{20,}",
         "local_phone": r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}\b",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -112,6 +113,7 @@ def _op5_sql() -> str:
         "card": f"""length({digits}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i:
             CASE WHEN (length({digits}) - i) % 2 = 1 THEN (CASE WHEN {digits}[i]::INT > 4 THEN 2 * {digits}[i]::INT - 9 ELSE 2 * {digits}[i]::INT END) ELSE {digits}[i]::INT END)) % 10 = 0""",
         "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "secret": f"length({digits}) >= 4 AND length(regexp_replace(m, '[^A-Za-z]', '', 'g')) >= 4",
         "iban": """list_reduce(list_prepend(0, list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''), lambda c: ascii(c))),
             lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1""",
     }
@@ -129,7 +131,7 @@ WITH s AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE base OR score >= {p
 a AS (SELECT * FROM s WHERE base OR NOT EXISTS (SELECT 1 FROM s b WHERE b.base AND b.doc_id = s.doc_id AND b.start < s."end" AND s.start < b."end"))
 SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS if k.base)},
        sha256(coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (base), '')) AS base_sha256,
-       coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank), '') AS spans
+       coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank), '') AS spans, count(kind) AS n_spans
 FROM documents d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
 """
 

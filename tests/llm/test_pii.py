@@ -48,6 +48,13 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert got == {1: "iban:5:27", 2: "", 3: "local_phone:6:18", 4: "", 5: "phone:5:22"}
 
 
+def test_secrets_need_context_and_a_mix(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{key}"', "s"), (2, f"commit {key}", "s"), (3, "token antidisestablishmentarianism", "s"), (4, "key 12345678901234567890123", "s"), (5, f"example token {key}", "s"), (6, "password: abcd1234EFGH5678ijkl", "s"), (7, "a" * 300_000 + "1234", "s")]
+    got = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in pii.summary(pii.find_spans(docs_frame(spark, rows))).collect()}
+    assert got == {1: ("secret:9:49", 1), 2: ("", 0), 3: ("", 0), 4: ("", 0), 5: ("", 0), 6: ("secret:10:30", 1), 7: ("", 0)}
+
+
 def test_scores_follow_context(spark):
     rows = [(1, "server 10.0.0.1", "s"), (2, "version 10.0.0.1", "s")]
     got = {r["doc_id"]: r["spans"][0]["score"] for r in pii.find_spans(docs_frame(spark, rows)).collect()}
