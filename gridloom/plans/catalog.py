@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import boxes, exprs, names
 from gridloom.functions.params import MapParams
-from gridloom.operators import clouds, fold, heightmap, maps, ndt, spatial
+from gridloom.operators import clouds, fold, heightmap, maps, ndt, runs, spatial
 from gridloom.operators.walk import walk
 from gridloom.plans import oracles
 from gridloom.sources import generators
@@ -42,8 +42,12 @@ def rays_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.event_rays(spark, sf_dir)
 
 
-def voxels_of(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return fold.occupancy(walk(rays_of(spark, sf_dir).where(where), P), P)
+def voxels_of(spark: SparkSession, sf_dir: str, **flags: bool) -> DataFrame:
+    return runs.occupancy_map(rays_of(spark, sf_dir), P, **flags)
+
+
+def as_double(voxels: DataFrame) -> DataFrame:
+    return voxels.withColumn("occupancy", F.col("occupancy").cast("double"))
 
 
 def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +145,7 @@ def region_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BASE} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy, n_ops FROM voxels")
 def occupancy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxels_of(spark, sf_dir).withColumn("occupancy", F.col("occupancy").cast("double"))
+    return as_double(voxels_of(spark, sf_dir))
 
 
 @query(f"{_BASE} SELECT gx, gy, gz, round(occupancy::DOUBLE, 4) AS occupancy, n_ops FROM voxels")
@@ -167,26 +171,26 @@ def touch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_VISITS}, {oracles.voxels_cte(where='sample')} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy, n_ops FROM voxels")
 def mode_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples only: rays do not clear."""
-    return fold.occupancy(walk(rays_of(spark, sf_dir), P).where("sample"), P).withColumn("occupancy", F.col("occupancy").cast("double"))
+    return as_double(voxels_of(spark, sf_dir, exclude_ray=True))
 
 
 @query(f"{_VISITS}, {oracles.voxels_cte(where='NOT sample')} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy, n_ops FROM voxels")
 def mode_erode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rays only: samples do not fill."""
-    return fold.occupancy(walk(rays_of(spark, sf_dir), P, exclude_sample=True), P).withColumn("occupancy", F.col("occupancy").cast("double"))
+    return as_double(voxels_of(spark, sf_dir, exclude_sample=True))
 
 
 @query(f"{_VISITS}, first AS (SELECT *, step + 1 AS rn FROM visits), {oracles.voxels_cte(visits='first', where='rn > 1')} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy, n_ops FROM voxels")
 def exclude_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.occupancy(walk(rays_of(spark, sf_dir), P, exclude_origin=True), P).withColumn("occupancy", F.col("occupancy").cast("double"))
+    return as_double(voxels_of(spark, sf_dir, exclude_origin=True))
 
 
 @query(f"{_VISITS}, {oracles.voxels_cte(hit='false')} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy, n_ops FROM voxels")
 def end_point_as_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.occupancy(walk(rays_of(spark, sf_dir), P), P, hit=F.lit(False)).withColumn("occupancy", F.col("occupancy").cast("double"))
+    return as_double(voxels_of(spark, sf_dir, end_as_free=True))
 
 
-_CLEAR = f"""{_BASE}, batch AS (SELECT v.* FROM visits v JOIN voxels USING (gx, gy, gz) WHERE seq % 10 = 0 AND occupancy >= 0),
+_CLEAR = f"""{_BASE}, batch AS (SELECT v.* FROM visits v JOIN voxels USING (gx, gy, gz) WHERE occupancy >= 0),
 f AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY seq ORDER BY step) = 1), n AS (SELECT gx, gy, gz, count(*) AS n FROM f GROUP BY ALL)
 SELECT gx, gy, gz, round(CASE WHEN n IS NULL THEN occupancy ELSE greatest(occupancy + n * {exprs.num(P.miss)}, {exprs.num(P.low)}) END::DOUBLE, 4) AS occupancy FROM voxels LEFT JOIN n USING (gx, gy, gz)"""
 
@@ -194,8 +198,7 @@ SELECT gx, gy, gz, round(CASE WHEN n IS NULL THEN occupancy ELSE greatest(occupa
 @query(_CLEAR)
 def clearing_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of rays that clears the first occupied voxel it meets in the map as it was."""
-    rays = rays_of(spark, sf_dir)
-    return spatial.clearing(rays.where("seq % 10 = 0"), voxels_of(spark, sf_dir), P).withColumn("occupancy", F.round(F.col("occupancy").cast("double"), 4))
+    return spatial.clearing(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P).withColumn("occupancy", F.round(F.col("occupancy").cast("double"), 4))
 
 
 def _mean_sql() -> str:
@@ -326,63 +329,56 @@ def pose_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # spatial queries
 
 
-_HALF = f"WITH {oracles.rays_cte()}, half AS (SELECT * FROM rays WHERE seq % 2 = 1),\n{oracles.visits_cte(rays='half', visits='hv')},\n{oracles.voxels_cte(visits='hv', voxels='voxels')}"
-_ASKED = f"{_HALF}, asked AS (SELECT * FROM rays WHERE seq % 20 = 0),\n{oracles.visits_cte(rays='asked', visits='visits')}"
-
-
-def _half_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxels_of(spark, sf_dir, "seq % 2 = 1")
-
-
-@query(f"""{_ASKED}, j AS (SELECT v.*, occupancy, coalesce(occupancy > 0, false) AS stop, row_number() OVER (PARTITION BY seq ORDER BY step) AS rn FROM visits v LEFT JOIN voxels USING (gx, gy, gz)),
+@query(f"""{_BASE}, j AS (SELECT v.*, occupancy, coalesce(occupancy > 0, false) AS stop, row_number() OVER (PARTITION BY seq ORDER BY step) AS rn FROM visits v LEFT JOIN voxels USING (gx, gy, gz)),
 f AS (SELECT *, min(CASE WHEN stop THEN rn END) OVER (PARTITION BY seq) AS first FROM j), u AS (SELECT * FROM f WHERE first IS NULL OR rn <= first)
 SELECT seq, round(coalesce(max(exit) FILTER (NOT stop), 0e0), 6) AS range, round(sum(CASE WHEN occupancy IS NULL THEN exit ** 3 - enter ** 3 ELSE 0e0 END), 6) AS unobserved_volume,
 CASE WHEN max_by(coalesce(occupancy, 1e30), rn) = 1e30 THEN -1 WHEN max_by(occupancy, rn) > 0 THEN 1 ELSE 0 END AS terminal_type, max_by(gx, rn) AS t_gx, max_by(gy, rn) AS t_gy, max_by(gz, rn) AS t_gz FROM u GROUP BY seq""")
 def rays_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.rays_query(rays_of(spark, sf_dir).where("seq % 20 = 0"), _half_map(spark, sf_dir), P), "range", "unobserved_volume")
+    return rounded(spatial.rays_query(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P), "range", "unobserved_volume")
 
 
 _D2 = "((o.gx - t.gx) * 0.1e0) ** 2 + ((o.gy - t.gy) * 0.1e0) ** 2 + ((o.gz - t.gz) * 0.1e0) ** 2"
 _NEAR_CELL = "o.gx BETWEEN t.gx - 3 AND t.gx + 3 AND o.gy BETWEEN t.gy - 3 AND t.gy + 3 AND o.gz BETWEEN t.gz - 3 AND t.gz + 3"
 
 
-@query(f"""{_ASKED}, t AS (SELECT DISTINCT gx, gy, gz, gx // 8 AS c FROM visits), o AS (SELECT gx, gy, gz, gx // 8 + unnest([-1, 0, 1]) AS c FROM voxels WHERE occupancy >= 0),
+@query(f"""{_BASE}, t AS (SELECT DISTINCT gx, gy, gz, gx // 8 AS c FROM visits), o AS (SELECT gx, gy, gz, gx // 8 + unnest([-1, 0, 1]) AS c FROM voxels WHERE occupancy >= 0),
 n AS (SELECT t.gx, t.gy, t.gz, min({_D2}) AS d2 FROM t JOIN o ON o.c = t.c AND {_NEAR_CELL} WHERE {_D2} <= 0.09e0 + 1e-9 GROUP BY ALL)
 SELECT seq, step AS place, gx, gy, gz, round(coalesce(sqrt(d2), -1e0), 6) AS clearance FROM visits LEFT JOIN n USING (gx, gy, gz)""")
 def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.line_query(rays_of(spark, sf_dir).where("seq % 20 = 0"), _half_map(spark, sf_dir), P, 0.3), "clearance")
+    return rounded(spatial.line_query(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P, 0.3), "clearance")
 
 
-@query(f"""{_HALF}, t AS (SELECT *, gx // 8 AS c FROM voxels), o AS (SELECT gx, gy, gz, gx // 8 + unnest([-1, 0, 1]) AS c FROM voxels WHERE occupancy >= 0),
+@query(f"""{_BASE}, t AS (SELECT *, gx // 8 AS c FROM voxels), o AS (SELECT gx, gy, gz, gx // 8 + unnest([-1, 0, 1]) AS c FROM voxels WHERE occupancy >= 0),
 n AS (SELECT t.gx, t.gy, t.gz, min({_D2}) AS d2 FROM t JOIN o ON o.c = t.c AND {_NEAR_CELL} WHERE {_D2} <= 0.09e0 + 1e-9 GROUP BY ALL) SELECT gx, gy, gz, round(coalesce(sqrt(d2), -1e0), 6) AS clearance FROM voxels LEFT JOIN n USING (gx, gy, gz)""")
 def clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.clearance(_half_map(spark, sf_dir), P, 0.3), "clearance")
+    return rounded(spatial.clearance(voxels_of(spark, sf_dir), P, 0.3), "clearance")
 
 
 _CENTRE = " + ".join(f"({exprs.centre(f'v.g{a}', P, i)} - p.{a}) ** 2" for i, a in enumerate("xyz"))
 
 
-@query(f"{_HALF}, {_POINTS} SELECT p.seq, v.gx, v.gy, v.gz, round(sqrt({_CENTRE}), 6) AS range FROM points p JOIN voxels v ON v.occupancy >= 0 AND sqrt({_CENTRE}) <= 0.5e0")
+@query(f"{_BASE}, {_POINTS} SELECT p.seq, v.gx, v.gy, v.gz, round(sqrt({_CENTRE}), 6) AS range FROM points p JOIN voxels v ON v.occupancy >= 0 AND sqrt({_CENTRE}) <= 0.5e0")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.nearest_neighbours(points_of(spark, sf_dir), _half_map(spark, sf_dir), P, 0.5), "range")
+    return rounded(spatial.nearest_neighbours(points_of(spark, sf_dir), voxels_of(spark, sf_dir), P, 0.5), "range")
 
 
-@query(f"{_HALF}, k AS (SELECT seq, {', '.join(f'{e} AS {n}' for n, e in _KEYS.items())} FROM rays) SELECT seq FROM k SEMI JOIN (SELECT * FROM voxels WHERE occupancy >= 0) USING (gx, gy, gz)")
+@query(f"{_BASE}, k AS (SELECT seq, {', '.join(f'{e} AS {n}' for n, e in _KEYS.items())} FROM rays) SELECT seq FROM k SEMI JOIN (SELECT * FROM voxels WHERE occupancy >= 0) USING (gx, gy, gz)")
 def cloud_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = rays_of(spark, sf_dir).selectExpr("seq", "sx AS x", "sy AS y", "sz AS z")
-    return spatial.filter_cloud(points, _half_map(spark, sf_dir), P).select("seq")
+    return spatial.filter_cloud(points, voxels_of(spark, sf_dir), P).select("seq")
 
 
 # whole maps
 
 
 _REG = ", ".join(f"{exprs.region_of(f'g{a}', P)} AS r{a}" for a in "xyz")
-_TWO = f"{_HALF}, all_rays AS (SELECT * FROM rays WHERE ox > 0),\n{oracles.visits_cte(rays='all_rays', visits='av')},\n{oracles.voxels_cte(visits='av', voxels='other')}"
+#: A second map, where two are needed: of the samples of all rays.
+_TWO = f"{_BASE},\n{oracles.voxels_cte(where='sample', voxels='other')}"
 
 
 @query(f"{_TWO}, o AS (SELECT DISTINCT {_REG} FROM other), m AS (SELECT *, {_REG} FROM voxels) SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy FROM m ANTI JOIN o USING (rx, ry, rz) UNION ALL SELECT gx, gy, gz, occupancy::DOUBLE FROM other")
 def merge_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = maps.merge(_half_map(spark, sf_dir), voxels_of(spark, sf_dir, "ox > 0"), P)
+    merged = maps.merge(voxels_of(spark, sf_dir), voxels_of(spark, sf_dir, exclude_ray=True), P)
     return merged.select(*fold.VOXEL, F.col("occupancy").cast("double").alias("occupancy"))
 
 
@@ -390,9 +386,9 @@ _LO, _HI = maps.region_box(P)
 _MEETS = " AND ".join(f"{a} <= {exprs.num(h)} AND {b} >= {exprs.num(l)}" for a, b, l, h in zip(_LO, _HI, *EDGE_BOX, strict=True))  # noqa: E741
 
 
-@query(f"{_HALF} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy FROM (SELECT *, {_REG} FROM voxels) WHERE {_MEETS}")
+@query(f"{_BASE} SELECT gx, gy, gz, occupancy::DOUBLE AS occupancy FROM (SELECT *, {_REG} FROM voxels) WHERE {_MEETS}")
 def submap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.submap(_half_map(spark, sf_dir), EDGE_BOX, P).select(*fold.VOXEL, F.col("occupancy").cast("double").alias("occupancy"))
+    return maps.submap(voxels_of(spark, sf_dir), EDGE_BOX, P).select(*fold.VOXEL, F.col("occupancy").cast("double").alias("occupancy"))
 
 
 _REGIONS = f"{_VISITS}, regions AS (SELECT {_REG}, max(ts) AS touched, (max(seq // 4096) + 1)::BIGINT AS stamp FROM visits JOIN rays USING (seq) GROUP BY 1, 2, 3)"
@@ -427,7 +423,7 @@ def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_TWO} SELECT count(*) FILTER (abs(a.occupancy - b.occupancy) <= 0.5e0) AS same, count(*) FILTER (abs(a.occupancy - b.occupancy) > 0.5e0) AS different, count(*) FILTER (b.occupancy IS NULL) AS missing FROM voxels a LEFT JOIN other b USING (gx, gy, gz)")
 def compare_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.compare(_half_map(spark, sf_dir), voxels_of(spark, sf_dir, "ox > 0"), 0.5)
+    return maps.compare(voxels_of(spark, sf_dir), voxels_of(spark, sf_dir, exclude_ray=True), 0.5)
 
 
 @query(f"{_REGIONS} SELECT DISTINCT a.rx, a.ry, a.rz FROM regions a JOIN regions b ON b.stamp > 1 AND abs(a.rx - b.rx) <= 1 AND abs(a.ry - b.ry) <= 1 AND abs(a.rz - b.rz) <= 1")
@@ -436,9 +432,9 @@ def stale_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.stale(maps.regions(walk(rays_of(spark, sf_dir), P, keep=("ts",)), P), 1)
 
 
-@query(f"{_HALF}, q AS (SELECT seq, {', '.join(f'{e} + 1 AS {n}' for n, e in _KEYS.items())} FROM rays), r AS (SELECT DISTINCT {_REG} FROM voxels) SELECT seq, gx, gy, gz, round(occupancy::DOUBLE, 6) AS occupancy, CASE WHEN occupancy IS NOT NULL THEN (occupancy >= 0)::INT WHEN r.rx IS NOT NULL THEN -1 ELSE -2 END AS kind FROM (SELECT *, {_REG} FROM q) q LEFT JOIN voxels USING (gx, gy, gz) LEFT JOIN r ON q.rx = r.rx AND q.ry = r.ry AND q.rz = r.rz")
+@query(f"{_BASE}, q AS (SELECT seq, {', '.join(f'{e} + 1 AS {n}' for n, e in _KEYS.items())} FROM rays), r AS (SELECT DISTINCT {_REG} FROM voxels) SELECT seq, gx, gy, gz, round(occupancy::DOUBLE, 6) AS occupancy, CASE WHEN occupancy IS NOT NULL THEN (occupancy >= 0)::INT WHEN r.rx IS NOT NULL THEN -1 ELSE -2 END AS kind FROM (SELECT *, {_REG} FROM q) q LEFT JOIN voxels USING (gx, gy, gz) LEFT JOIN r ON q.rx = r.rx AND q.ry = r.ry AND q.rz = r.rz")
 def voxel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _half_map(spark, sf_dir)
+    m = voxels_of(spark, sf_dir)
     keys = rays_of(spark, sf_dir).selectExpr("seq", *[f"{e} + 1 AS {n}" for n, e in _KEYS.items()])
     return rounded(maps.lookup(m, maps.with_region(m, P).select(*maps.REGION).distinct(), keys, P), "occupancy")
 
@@ -543,14 +539,14 @@ def ndt_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHARE = f"least(1e0, greatest(0e0, ({exprs.centre('gz', P, 2)} - -1e0) / 2.5e0))"
 
 
-@query(f"{_HALF} SELECT gx, gy, gz, {', '.join(f'round({e}, 6) AS {n}' for n, e in zip('rgb', exprs.hsv_to_rgb(f'({_SHARE} * 240e0)', '1e0', '1e0'), strict=True))} FROM voxels WHERE occupancy >= 0")
+@query(f"{_BASE} SELECT gx, gy, gz, {', '.join(f'round({e}, 6) AS {n}' for n, e in zip('rgb', exprs.hsv_to_rgb(f'({_SHARE} * 240e0)', '1e0', '1e0'), strict=True))} FROM voxels WHERE occupancy >= 0")
 def colour_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clouds.coloured_by_height(_half_map(spark, sf_dir), P, -1.0, 1.5), "r", "g", "b")
+    return rounded(clouds.coloured_by_height(voxels_of(spark, sf_dir), P, -1.0, 1.5), "r", "g", "b")
 
 
-@query(f"{_HALF}, c AS (SELECT *, unnest(range(8))::INT AS corner FROM voxels WHERE occupancy >= 0) SELECT gx, gy, gz, corner, {', '.join(f'round({exprs.centre(f"g{a}", P, i)} + CASE WHEN (corner // {1 << i}) % 2 = 1 THEN 0.05e0 ELSE -0.05e0 END, 6) AS {a}' for i, a in enumerate('xyz'))} FROM c")
+@query(f"{_BASE}, c AS (SELECT *, unnest(range(8))::INT AS corner FROM voxels WHERE occupancy >= 0) SELECT gx, gy, gz, corner, {', '.join(f'round({exprs.centre(f"g{a}", P, i)} + CASE WHEN (corner // {1 << i}) % 2 = 1 THEN 0.05e0 ELSE -0.05e0 END, 6) AS {a}' for i, a in enumerate('xyz'))} FROM c")
 def voxel_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clouds.cubes(_half_map(spark, sf_dir), P), "x", "y", "z")
+    return rounded(clouds.cubes(voxels_of(spark, sf_dir), P), "x", "y", "z")
 
 
 @query("SELECT x::INT AS gx, y::INT AS gy, z::INT AS gz FROM range(-10, 11) a(x), range(-8, 9) b(y), range(0, 13) c(z) WHERE abs(x) = 10 OR abs(y) = 8 OR z = 0 OR z = 12")
@@ -567,87 +563,3 @@ def cone_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """occupancy_map, from a stream in micro-batches."""
     return streaming.replay(spark, sf_dir, P).withColumn("occupancy", F.col("occupancy").cast("double"))
-
-
-# The SQL of the queries above that need a map besides the rays asks a map of half of them; these take the map of all rays and ask
-# with all. Their second map, where there are two, is the samples of all rays.
-
-
-_SAMPLES = oracles.voxels_cte(where="sample", voxels="other")
-
-
-def _all(name: str, *changes: tuple[str, str]) -> str:
-    """The SQL of a query, on all rays."""
-    sql = SQL[name].replace("0e0 + round(", "round(")
-    for old, new in (*changes, (_TWO, f"{_BASE},\n{_SAMPLES}"), (_ASKED, _BASE), (_HALF, _BASE)):
-        sql = sql.replace(old, new)
-    assert "seq %" not in sql and "ox > 0" not in sql
-    return sql
-
-
-def _samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.occupancy(walk(rays_of(spark, sf_dir), P).where("sample"), P)
-
-
-@query(_all("clearing_pattern", ("seq % 10 = 0 AND ", "")))
-def clearing_pattern_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.clearing(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P).withColumn("occupancy", F.round(F.col("occupancy").cast("double"), 4))
-
-
-@query(_all("rays_query"))
-def rays_query_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.rays_query(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P), "range", "unobserved_volume")
-
-
-@query(_all("line_query"))
-def line_query_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.line_query(rays_of(spark, sf_dir), voxels_of(spark, sf_dir), P, 0.3), "clearance")
-
-
-@query(_all("clearance"))
-def clearance_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.clearance(voxels_of(spark, sf_dir), P, 0.3), "clearance")
-
-
-@query(_all("nearest_neighbours"))
-def nearest_neighbours_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.nearest_neighbours(points_of(spark, sf_dir), voxels_of(spark, sf_dir), P, 0.5), "range")
-
-
-@query(_all("cloud_filter"))
-def cloud_filter_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = rays_of(spark, sf_dir).selectExpr("seq", "sx AS x", "sy AS y", "sz AS z")
-    return spatial.filter_cloud(points, voxels_of(spark, sf_dir), P).select("seq")
-
-
-@query(_all("merge_maps"))
-def merge_maps_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = maps.merge(voxels_of(spark, sf_dir), _samples_of(spark, sf_dir), P)
-    return merged.select(*fold.VOXEL, F.col("occupancy").cast("double").alias("occupancy"))
-
-
-@query(_all("submap"))
-def submap_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.submap(voxels_of(spark, sf_dir), EDGE_BOX, P).select(*fold.VOXEL, F.col("occupancy").cast("double").alias("occupancy"))
-
-
-@query(_all("compare_maps"))
-def compare_maps_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.compare(voxels_of(spark, sf_dir), _samples_of(spark, sf_dir), 0.5)
-
-
-@query(_all("voxel_lookup"))
-def voxel_lookup_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = voxels_of(spark, sf_dir)
-    keys = rays_of(spark, sf_dir).selectExpr("seq", *[f"{e} + 1 AS {n}" for n, e in _KEYS.items()])
-    return rounded(maps.lookup(m, maps.with_region(m, P).select(*maps.REGION).distinct(), keys, P), "occupancy")
-
-
-@query(_all("colour_by_height"))
-def colour_by_height_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clouds.coloured_by_height(voxels_of(spark, sf_dir), P, -1.0, 1.5), "r", "g", "b")
-
-
-@query(_all("voxel_cubes"))
-def voxel_cubes_all_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clouds.cubes(voxels_of(spark, sf_dir), P), "x", "y", "z")

@@ -1,9 +1,11 @@
 """Occupancy maps from streams.
 
 A map is the fold of its updates in the order of the rays, so a stream keeps, for each
-voxel, the compact function of the updates so far (see fold): each micro-batch appends
-its visits to a table, partitioned by batch, and the map is read from it. Appending is
-idempotent a batch: a batch that runs again overwrites its own partition.
+voxel and run of rays, the map of values that the run's updates make (see operators/runs):
+each micro-batch appends these rows to a table, partitioned by batch, and the map is put
+together from it. Appending is idempotent a batch: a batch that runs again overwrites its
+own partition. Batches may come in any order, if each holds a range of seq of its own; a
+late batch takes the place that its seq gives it.
 """
 
 from __future__ import annotations
@@ -13,25 +15,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.functions.params import MapParams
-from gridloom.operators import fold
-from gridloom.operators.walk import walk
+from gridloom.functions import shared
+from gridloom.operators import runs
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; one of its own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp()
+    """A new folder below spark.checkpoint.dir; a local one only in local mode, as in tests."""
+    base = shared.base(spark)
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def append_visits(rays: DataFrame, folder: str, p: MapParams, checkpoint: str):
-    """A query that walks each micro-batch of rays and appends the visits."""
+def append_runs(rays: DataFrame, folder: str, p: MapParams, checkpoint: str):
+    """A query that reduces each micro-batch of rays to its runs and appends them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        walk(batch, p).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        runs.runs_of(batch, p).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return rays.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -43,9 +41,9 @@ def replay(spark: SparkSession, sf_dir: str, p: MapParams = MapParams()) -> Data
     folder = shared_folder(spark)
     # a stream reads folders of files: the events are dealt to files first
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     rays = stream.selectExpr(*[f"{e} AS {n}" for n, e in RAY_COLUMNS.items()])
-    query = append_visits(rays, f"{folder}/visits", p, f"{folder}/state")
+    query = append_runs(rays, f"{folder}/runs", p, f"{folder}/state")
     query.awaitTermination()
-    return fold.occupancy(spark.read.parquet(f"{folder}/visits"), p)
+    return runs.put_together(spark.read.parquet(f"{folder}/runs"), p)
