@@ -1,15 +1,14 @@
-"""Ordered folds of visits into voxel layers.
-
-Every layer is a fold in the order of the rays (seq), within a voxel. The exact form
-gathers a voxel's updates, sorts them and folds them in single precision, as one
-sensor would. A voxel next to a sensor gets an update of every ray; for such maps the
-occupancy fold also has a form by composition: adding and then clamping is closed
-under composition, so updates fold to (add, low, high) in chunks of the order first,
-which bounds what one task gathers and combines before the shuffle.
+"""Folds of visits into voxel layers.
+
+Layers whose updates add up (traversal, touch times, secondary ranges) are plain
+aggregates, combined before the shuffle. Occupancy is a fold in the order of the rays
+(see runs for the form that scales; the one here gathers a voxel's updates, as SQL can
+say it). Means, normals and signed distances are ordered folds of arrays (see ordered).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,25 +63,26 @@ def touch_time(visits: DataFrame) -> DataFrame:
     return visits.where("sample").groupBy(*VOXEL).agg(F.max_by("ts", "seq").alias("ts")).select(*VOXEL, F.expr(touch_millis("ts", "0e0")).alias("touch_ms"))
 
 
-def mean(visits: DataFrame, p: MapParams = MapParams()) -> DataFrame:
-    """Quantised running mean of the samples in each voxel: ten bits an axis, and the count. visits carry sx, sy, sz."""
-    from gridloom.functions.exprs import centre
+def mean_step(bits: np.ndarray, n: np.ndarray, offset: np.ndarray, resolution: float) -> np.ndarray:
+    """Ten-bit means (a row a voxel, a column an axis) after one more sample at an offset from the centre."""
+    quantum = resolution / 1023
+    old = np.where(n[:, None] == 0, 0.0, bits * quantum - 0.5 * resolution)
+    new = old + (offset - old) / (n[:, None] + 1)
+    return np.clip(np.floor((new + 0.5 * resolution) / quantum + 0.5), 0, 1023).astype(np.int32)
 
-    r = p.resolution
-    samples = visits.where("sample").select(*VOXEL, F.struct("seq", *[(F.col(f"s{a}") - F.expr(centre(f"g{a}", p, i))).alias(a) for i, a in enumerate("xyz")]).alias("op"))
-    grouped = samples.groupBy(*VOXEL).agg(F.array_sort(F.collect_list("op")).alias("ops"))
-    zero = F.struct(*[F.lit(0).alias(a) for a in "xyz"], F.lit(0).alias("n"))
-    quantum = r / 1023
 
-    def encode(x: Column) -> Column:
-        return F.least(F.lit(1023), F.greatest(F.lit(0), F.floor((x + 0.5 * r) / quantum + 0.5).cast("int")))
+def mean(visits: DataFrame, p: MapParams = MapParams()) -> DataFrame:
+    """Quantised running mean of the samples in each voxel: ten bits an axis, and the count. visits carry sx, sy, sz."""
+    from gridloom.operators.ordered import ordered_fold
+    from gridloom.operators.walk import centres
 
-    def update(s: Column, op: Column) -> Column:
-        old = lambda a: F.when(s["n"] == 0, 0.0).otherwise(s[a] * quantum - 0.5 * r)
-        return F.struct(*[encode(old(a) + (op[a] - old(a)) / (s["n"] + 1)).alias(a) for a in "xyz"], (s["n"] + 1).alias("n"))
+    def step(s: dict, u: dict, voxel: np.ndarray) -> dict:
+        offset = np.stack([u[f"s{a}"] - centres(voxel[:, i], p, i) for i, a in enumerate("xyz")], 1)
+        return {"bits": mean_step(s["bits"], s["n"], offset, p.resolution), "n": s["n"] + 1}
 
-    out = grouped.withColumn("m", F.aggregate("ops", zero, update))
-    return out.select(*VOXEL, *[F.col(f"m.{a}").alias(f"m{a}") for a in "xyz"], F.col("m.n").cast("long").alias("n_samples"))
+    init = lambda k: {"bits": np.zeros((k, 3), np.int32), "n": np.zeros(k, np.int64)}
+    finish = lambda s: {f"m{a}": np.ascontiguousarray(s["bits"][:, i]) for i, a in enumerate("xyz")} | {"n_samples": s["n"]}
+    return ordered_fold(visits.where("sample"), ("sx", "sy", "sz"), ("seq",), init, step, finish, "mx int, my int, mz int, n_samples long")
 
 
 def secondary(rays: DataFrame, p: MapParams = MapParams()) -> DataFrame:
@@ -99,53 +99,62 @@ def normals(visits: DataFrame) -> DataFrame:
     Each step decodes the packed normal, moves it towards the sample's direction, renormalises and packs again.
     visits carry o and s.
     """
-    d = [F.col(f"o{a}") - F.col(f"s{a}") for a in "xyz"]
-    square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    scale = F.when(square > 1e-6, 1 / F.sqrt(square)).otherwise(0.0)
-    op = F.struct("seq", *[(d[i] * scale).alias(f"u{a}") for i, a in enumerate("xyz")])
-    grouped = visits.where("sample").select(*VOXEL, op.alias("op")).groupBy(*VOXEL).agg(F.array_sort(F.collect_list("op")).alias("ops"))
-    start = F.struct(F.lit(0).alias("ix"), F.lit(0).alias("iy"), F.lit(False).alias("below"), F.lit(False).alias("set"), F.lit(0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-
-    def decode(s: Column) -> tuple[Column, Column, Column]:
-        x, y = (2 * (s[c] / F.lit(16383.0)) - 1 for c in ("ix", "iy"))
-        z = F.sqrt(F.greatest(F.lit(0.0), 1 - (x * x + y * y))) * F.when(s["below"], -1.0).otherwise(1.0)
-        return tuple(F.when(s["set"], c).otherwise(0.0) for c in (x, y, z))
-
-    def move(s: Column, op: Column) -> Column:
-        old = decode(s)
-        count = F.when(s["set"], s["n"]).otherwise(0) + 1
-        return F.struct(s["n"].alias("n"), *[(o + (op[f"u{a}"] - o) / count).alias(a) for o, a in zip(old, "xyz", strict=True)])
-
-    def pack(m: Column) -> Column:
-        size = m["x"] * m["x"] + m["y"] * m["y"] + m["z"] * m["z"]
-        by = F.when(size > 1e-6, 1 / F.sqrt(size)).otherwise(0.0)
-        x, y, z = (m[a] * by for a in "xyz")
-        bits = lambda c: F.floor(0.5 * (F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)) + 1) * 16383).cast("int")
-        return F.struct(bits(x).alias("ix"), bits(y).alias("iy"), (z < 0).alias("below"), (size > 1e-6).alias("set"), (m["n"] + 1).alias("n"), x.alias("x"), y.alias("y"), z.alias("z"))
-
-    # the moved mean is bound once by transforming a one-element array, so it isn't computed again for each use
-    fold = F.aggregate("ops", start, lambda s, op: F.get(F.transform(F.array(move(s, op)), pack), F.lit(0)))
-    out = grouped.withColumn("f", fold)
-    return out.select(*VOXEL, "f.ix", "f.iy", "f.below", "f.n")
-
-
-def tsdf(visits: DataFrame, p: MapParams = MapParams(), truncation: float = 0.1, max_weight: float = 1e4) -> DataFrame:
-    """Weight and signed distance of each voxel: a running mean in the order of the rays, clamped to the truncation at each step.
+    from gridloom.operators.ordered import ordered_fold
 
-    visits carry o and s. Single precision, as stored.
-    """
-    from gridloom.functions.exprs import centre
+    def step(s: dict, u: dict, _: np.ndarray) -> dict:
+        to = np.stack([u[f"o{a}"] - u[f"s{a}"] for a in "xyz"], 1)
+        square = to[:, 0] * to[:, 0] + to[:, 1] * to[:, 1] + to[:, 2] * to[:, 2]
+        unit = to * np.where(square > 1e-6, 1 / np.sqrt(np.maximum(square, 1e-300)), 0.0)[:, None]
+        old = decode_normal(s["ix"], s["iy"], s["below"], s["set"])
+        count = np.where(s["set"], s["n"], 0) + 1
+        moved = old + (unit - old) / count[:, None]
+        ix, iy, below, is_set = encode_normal(moved)
+        return {"ix": ix, "iy": iy, "below": below, "set": is_set, "n": s["n"] + 1}
 
-    ray = [F.col(f"s{a}") - F.col(f"o{a}") for a in "xyz"]
-    far = F.sqrt(ray[0] * ray[0] + ray[1] * ray[1] + ray[2] * ray[2])
-    to = [F.expr(centre(f"g{a}", p, i)) - F.col(f"o{a}") for i, a in enumerate("xyz")]
-    along = to[0] * ray[0] + to[1] * ray[1] + to[2] * ray[2]
-    ops = visits.select(*VOXEL, F.struct("seq", F.when(far > 0, far - along / far).otherwise(0.0).cast("float").alias("sdf")).alias("op"))
-    grouped = ops.groupBy(*VOXEL).agg(F.array_sort(F.collect_list("op")).alias("ops"))
-    start = F.struct(_f(0).alias("weight"), _f(0).alias("distance"))
+    init = lambda k: {"ix": np.zeros(k, np.int32), "iy": np.zeros(k, np.int32), "below": np.zeros(k, bool), "set": np.zeros(k, bool), "n": np.zeros(k, np.int32)}
+    finish = lambda s: {c: s[c] for c in ("ix", "iy", "below", "n")}
+    return ordered_fold(visits.where("sample"), ("ox", "oy", "oz", "sx", "sy", "sz"), ("seq",), init, step, finish, "ix int, iy int, below boolean, n int")
 
-    def update(s: Column, op: Column) -> Column:
-        mean = ((op["sdf"] + s["distance"] * s["weight"]).cast("float") / (s["weight"] + _f(1))).cast("float")
-        return F.struct(F.least((s["weight"] + _f(1)).cast("float"), _f(max_weight)).alias("weight"), F.least(F.greatest(mean, _f(-truncation)), _f(truncation)).alias("distance"))
 
-    return grouped.withColumn("t", F.aggregate("ops", start, update)).select(*VOXEL, "t.weight", "t.distance")
+def decode_normal(ix: np.ndarray, iy: np.ndarray, below: np.ndarray, is_set: np.ndarray) -> np.ndarray:
+    x, y = 2 * (ix / 16383.0) - 1, 2 * (iy / 16383.0) - 1
+    z = np.sqrt(np.maximum(0.0, 1 - (x * x + y * y))) * np.where(below, -1.0, 1.0)
+    return np.stack([x, y, z], 1) * is_set[:, None]
+
+
+def encode_normal(normal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of x and of y, whether z is below zero, and whether there is a direction at all."""
+    square = normal[:, 0] * normal[:, 0] + normal[:, 1] * normal[:, 1] + normal[:, 2] * normal[:, 2]
+    unit = normal * np.where(square > 1e-6, 1 / np.sqrt(np.maximum(square, 1e-300)), 0.0)[:, None]
+    bits = [np.floor(0.5 * (np.clip(unit[:, a], -1, 1) + 1) * 16383).astype(np.int32) for a in range(2)]
+    return *bits, unit[:, 2] < 0, square > 1e-6
+
+
+def tsdf(visits: DataFrame, p: MapParams = MapParams(), truncation: float = 0.1, max_weight: float = 1e4, dropoff: float = 0.0, sparsity: float = 0.0) -> DataFrame:
+    """Weight and signed distance of each voxel: a running mean in the order of the rays, clamped to the truncation at each step.
+
+    A ray weighs 1; with a dropoff (> 0) less behind the surface, with a sparsity factor (> 0) so much more within the truncation.
+    Steps to a weight near zero change nothing. visits carry o and s. Single precision, as stored.
+    """
+    from gridloom.operators.ordered import ordered_fold
+    from gridloom.operators.walk import centres
+
+    f = np.float32
+    reach, most = f(truncation), f(max_weight)
+
+    def step(s: dict, u: dict, voxel: np.ndarray) -> dict:
+        ray = [u[f"s{a}"] - u[f"o{a}"] for a in "xyz"]
+        far = np.sqrt(ray[0] * ray[0] + ray[1] * ray[1] + ray[2] * ray[2])
+        to = [centres(voxel[:, i], p, i) - u[f"o{a}"] for i, a in enumerate("xyz")]
+        along = to[0] * ray[0] + to[1] * ray[1] + to[2] * ray[2]
+        sdf = np.where(far > 0, far - along / np.where(far > 0, far, 1), 0.0).astype(f)
+        weight = np.maximum((reach + sdf) / (reach - f(dropoff)), f(0)) if dropoff > 0 else np.ones(len(sdf), f)
+        if sparsity > 0:
+            weight = np.where(np.abs(sdf) < reach, weight * f(sparsity), weight)
+        total = s["weight"] + weight
+        near_zero = np.abs(total) < f(1e-5)
+        mean = (sdf * weight + s["distance"] * s["weight"]) / np.where(near_zero, f(1), total)
+        return {"weight": np.where(near_zero, s["weight"], np.minimum(total, most)), "distance": np.where(near_zero, s["distance"], np.clip(mean, -reach, reach))}
+
+    init = lambda k: {"weight": np.zeros(k, f), "distance": np.zeros(k, f)}
+    return ordered_fold(visits, ("ox", "oy", "oz", "sx", "sy", "sz"), ("seq", "step"), init, step, lambda s: s, "weight float, distance float")

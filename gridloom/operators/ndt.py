@@ -1,17 +1,23 @@
-"""Normal-distribution voxels: mean, covariance and intensity of the samples in each voxel."""
+"""Normal-distribution voxels: mean, covariance and intensity of the samples in each voxel.
+
+moments() has them as plain aggregates of all samples; integrate() as the running state that
+rays leave, where misses are weighed by the distribution and a voxel that empties starts anew.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.params import MapParams
-from gridloom.operators.fold import VOXEL
+from gridloom.functions.params import MapParams, log_odds
+from gridloom.operators.fold import VOXEL, mean_step
+from gridloom.operators.ordered import ordered_fold
+from gridloom.operators.walk import centres
 
 
 def moments(visits: DataFrame) -> DataFrame:
@@ -46,44 +52,128 @@ def eigen(voxels: DataFrame) -> DataFrame:
     return voxels.select(*VOXEL, "n", "cxx", "cxy", "cyy", "cxz", "cyz", "czz").mapInArrow(run, schema)
 
 
-def occupancy(visits: DataFrame, p: MapParams = MapParams(), least_samples: int = 3, adaptation: float = 1.0, noise: float = 0.05) -> DataFrame:
-    """Occupancy with misses weighed by how likely a passing ray would have met the voxel's distribution.
+@dataclass(frozen=True)
+class NdtParams:
+    """adaptation: how strongly misses wear a distribution, from 0 to 1; None takes it from the chance of a miss."""
+
+    least_samples: int = 3
+    adaptation: float | None = None
+    noise: float = 0.05
+    reset_below: float = log_odds(0.2)
+    reset_samples: int = 100
+    intensity_var: float = 1.0
+
+
+def adaptation_rate(p_miss: float) -> float:
+    """The rate that makes a full miss as strong as an occupancy miss of this chance."""
+    return min(max(2 * (1 - 2 * p_miss), 0.0), 1.0)
+
+
+def _solve(root: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Solutions of L x = v for lower triangular matrices L, a row each."""
+    x = v[:, 0] / root[:, 0, 0]
+    y = (v[:, 1] - root[:, 1, 0] * x) / root[:, 1, 1]
+    return np.stack([x, y, (v[:, 2] - root[:, 2, 0] * x - root[:, 2, 1] * y) / root[:, 2, 2]], 1)
+
+
+def likelihoods(root: np.ndarray, mean: np.ndarray, sensor: np.ndarray, sample: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """At the likeliest point of each ray under the voxel's distribution: its likelihood given the voxel, and given the sample."""
+    ray = sample - sensor
+    ray = ray / np.maximum(np.linalg.norm(ray, axis=1), 1e-300)[:, None]
+    a, b = _solve(root, ray), _solve(root, sensor - mean)
+    likeliest = sensor - ray * ((a * b).sum(1) / (a * a).sum(1))[:, None]
+    by_voxel = np.exp(-0.5 * (_solve(root, likeliest - mean) ** 2).sum(1))
+    return by_voxel, np.exp(-0.5 * ((likeliest - sample) ** 2).sum(1) / noise**2)
 
-    A voxel's own ordered updates decide its state, so voxels fold apart: one group a voxel, vectorised over Arrow.
-    visits carry o and s.
+
+def covariance_step(root: np.ndarray, n: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """The triangular roots after one more sample: P' = n / (n + 1) P + n / (n + 1)**2 d d'; P itself where n is 0."""
+    old, share = root.astype(float), n / (n + 1.0)
+    new = np.where(n > 0, share, 1.0)[:, None, None] * (old @ old.transpose(0, 2, 1)) + (share / (n + 1.0))[:, None, None] * (delta[:, :, None] * delta[:, None, :])
+    return np.linalg.cholesky(new).astype(np.float32)
+
+
+def miss_change(root: np.ndarray, mean: np.ndarray, sensor: np.ndarray, sample: np.ndarray, rate: float, noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds that a passing ray adds to a voxel with a distribution, and whether it counts as a miss."""
+    by_voxel, by_sample = likelihoods(root, mean, sensor, sample, noise)
+    product = by_voxel * (1 - by_sample)
+    q = 0.5 - 0.5 * rate * product
+    with np.errstate(divide="ignore"):
+        return np.log(q / (1 - q)).astype(np.float32), product < 0.5 * rate
+
+
+def integrate(visits: DataFrame, p: MapParams = MapParams(), ndt: NdtParams = NdtParams()) -> DataFrame:
+    """Occupancy, quantised mean, covariance root (six entries by rows), intensity and hit and miss counts of each voxel.
+
+    A passing ray lowers a voxel with enough samples by how likely it would have met the voxel's distribution; a sample
+    raises it and moves the distribution, which starts anew once the voxel has become unlikely. All in the order of the
+    rays. visits carry o, s and intensity; intensity and counts are those of the traversability mode.
     """
     hit, miss, low, high = (np.float32(x) for x in (p.hit, p.miss, p.low, p.high))
-
-    def fold(voxel: pd.DataFrame) -> pd.DataFrame:
-        voxel = voxel.sort_values("seq")
-        o, s = voxel[["ox", "oy", "oz"]].to_numpy(), voxel[["sx", "sy", "sz"]].to_numpy()
-        value, n, mean, scatter = None, 0, np.zeros(3), np.zeros((3, 3))
-        for i, sample in enumerate(voxel["sample"].to_numpy()):
-            if sample:
-                delta = s[i] - mean
-                n += 1
-                mean = mean + delta / n
-                scatter = scatter + np.outer(delta, s[i] - mean)
-                value = min(np.float32((value or np.float32(0)) + hit), high)
-            elif value is None:
-                value = max(miss, low)
-            elif n < least_samples:
-                value = max(np.float32(value + miss), low)
-            else:
-                inverse = np.linalg.inv(scatter / n + np.eye(3) * (0.1 * p.resolution) ** 2)
-                d = s[i] - o[i]
-                d = d / max(np.linalg.norm(d), 1e-12)
-                t = (d @ inverse @ (mean - o[i])) / max(d @ inverse @ d, 1e-12)
-                x = o[i] + t * d
-                on_voxel = np.exp(-0.5 * (x - mean) @ inverse @ (x - mean))
-                on_sample = np.exp(-0.5 * ((x - s[i]) @ (x - s[i])) / noise**2)
-                q = 0.5 - 0.5 * adaptation * on_voxel * (1 - on_sample)
-                value = np.float32(min(max(value + np.float32(np.log(max(q, 1e-9) / (1 - q))), low), high))
-        first = voxel.iloc[0]
-        return pd.DataFrame([[int(first.gx), int(first.gy), int(first.gz), float(value), n]], columns=["gx", "gy", "gz", "occupancy", "n_samples"])
-
-    use = visits.select("seq", *VOXEL, "sample", "ox", "oy", "oz", "sx", "sy", "sz")
-    return use.groupBy(*VOXEL).applyInPandas(fold, "gx int, gy int, gz int, occupancy double, n_samples long")
+    rate = adaptation_rate(p.p_miss) if ndt.adaptation is None else ndt.adaptation
+    start = np.float32(0.1) * np.float32(p.resolution)
+
+    def step(s: dict, u: dict, voxel: np.ndarray) -> dict:
+        centre = np.stack([centres(voxel[:, a], p, a) for a in range(3)], 1)
+        mean = s["bits"] * (p.resolution / 1023) - 0.5 * p.resolution + centre
+        sensor, sample = (np.stack([u[f"{e}{a}"] for a in "xyz"], 1) for e in "os")
+        new, n = {k: v.copy() for k, v in s.items()}, s["n"]
+        fresh, rows = np.isnan(s["value"]), np.arange(len(n))
+
+        at = rows[~u["sample"]]
+        change, is_miss = np.full(len(at), miss), np.ones(len(at), bool)
+        dense = np.flatnonzero(~fresh[at] & (n[at] >= ndt.least_samples))
+        k = at[dense]
+        if len(k):
+            change[dense], is_miss[dense] = miss_change(s["root"][k].astype(float), mean[k], sensor[k], sample[k], rate, ndt.noise)
+        new["value"][at] = np.maximum(np.where(fresh[at], np.float32(0), s["value"][at]) + change, low)
+        new["misses"][at] += is_miss
+
+        at = rows[u["sample"]]
+        if len(at):
+            value, count = s["value"][at], n[at]
+            base = np.where(fresh[at], np.float32(np.inf), value)
+            reset = (count == 0) | ((base < np.float32(ndt.reset_below)) & (count >= ndt.reset_samples))
+            # counts: those of before the hit, with the distribution of before
+            clear = fresh[at] | reset
+            with np.errstate(divide="ignore", invalid="ignore"):
+                by_voxel, by_sample = likelihoods(s["root"][at].astype(float), mean[at], sensor[at], sample[at], ndt.noise)
+            product, eta = by_voxel * by_sample, 0.5 * rate
+            enough = count >= ndt.least_samples
+            new["hits"][at] = np.where(clear, 0, s["hits"][at]) + (clear | ~enough | (product >= eta))
+            new["misses"][at] = np.where(clear, 0, s["misses"][at]) + (~clear & enough & (product < eta) & (by_voxel >= eta))
+            # intensity
+            i, c = u["intensity"][at].astype(np.float32), count.astype(np.float32)
+            share, gap = np.float32(1) / (c + np.float32(1)), s["i_mean"][at] - i
+            new["i_mean"][at] = np.where(reset, i, share * (c * s["i_mean"][at] + i))
+            new["i_var"][at] = np.where(reset, np.float32(ndt.intensity_var), share * (c * s["i_var"][at] + share * gap * gap))
+            # distribution, value and mean
+            root = np.where(reset[:, None, None], np.eye(3, dtype=np.float32) * start, s["root"][at])
+            count = np.where(reset, 0, count)
+            new["root"][at] = covariance_step(root, count, np.where(reset[:, None], 0.0, sample[at] - mean[at]))
+            new["value"][at] = np.minimum(np.where(fresh[at], np.float32(0), value) + hit, high)
+            new["bits"][at] = mean_step(s["bits"][at], count, sample[at] - centre[at], p.resolution)
+            new["n"][at] = count + 1
+        return new
+
+    def init(k: int) -> dict:
+        state = {"value": np.full(k, np.nan, np.float32), "n": np.zeros(k, np.int64), "bits": np.zeros((k, 3), np.int32), "root": np.tile(np.eye(3, dtype=np.float32) * start, (k, 1, 1))}
+        return state | {"i_mean": np.zeros(k, np.float32), "i_var": np.zeros(k, np.float32), "hits": np.zeros(k, np.int64), "misses": np.zeros(k, np.int64)}
+
+    def finish(s: dict) -> dict:
+        root = {f"r{i}{j}": np.ascontiguousarray(s["root"][:, i, j]) for i in range(3) for j in range(i + 1)}
+        return {"occupancy": s["value"], "n_samples": s["n"]} | {f"m{a}": np.ascontiguousarray(s["bits"][:, i]) for i, a in enumerate("xyz")} | root | {"intensity_mean": s["i_mean"], "intensity_var": s["i_var"], "hits": s["hits"], "misses": s["misses"]}
+
+    roots = ", ".join(f"r{i}{j} float" for i in range(3) for j in range(i + 1))
+    schema = f"occupancy float, n_samples long, mx int, my int, mz int, {roots}, intensity_mean float, intensity_var float, hits long, misses long"
+    return ordered_fold(visits, ("sample", "ox", "oy", "oz", "sx", "sy", "sz", "intensity"), ("seq", "step"), init, step, finish, schema)
+
+
+def covariance(voxels: DataFrame) -> DataFrame:
+    """cxx to czz of voxels with covariance roots: root times its transpose."""
+    pairs = [(0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2)]
+    entry = lambda i, j: sum((F.col(f"r{max(i, k)}{min(i, k)}") * F.col(f"r{max(j, k)}{min(j, k)}") for k in range(min(i, j) + 1)), F.lit(0.0))
+    return voxels.withColumns({f"c{'xyz'[i]}{'xyz'[j]}": entry(i, j) for i, j in pairs})
 
 
 def inside_ellipsoid(points: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), limit: float = 3.0) -> DataFrame:

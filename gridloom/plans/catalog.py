@@ -526,14 +526,13 @@ def ndt_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ndt_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = MapParams(resolution=0.5)
-    return ndt.occupancy(walk(rays_of(spark, sf_dir), wide, keep=("ox", "oy", "oz", "sx", "sy", "sz")), wide)
+    """The running distributions of all voxels; no SQL: tests hold them against plain loops."""
+    return ndt.integrate(walk(rays_of(spark, sf_dir), P, keep=("ox", "oy", "oz", "sx", "sy", "sz", "intensity")), P)
 
 
 @query()
 def ndt_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = MapParams(resolution=0.5)
-    return ndt.eigen(ndt.moments(walk(rays_of(spark, sf_dir), wide, keep=("sx", "sy", "sz", "intensity"))).where("n >= 4"))
+    return ndt.eigen(ndt.moments(walk(rays_of(spark, sf_dir), P, keep=("sx", "sy", "sz", "intensity"))).where("n >= 4"))
 
 
 _SHARE = f"least(1e0, greatest(0e0, ({exprs.centre('gz', P, 2)} - -1e0) / 2.5e0))"

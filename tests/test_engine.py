@@ -138,7 +138,7 @@ def test_distributions(spark):
     assert row["n"] == 400 and row["cxx"] == pytest.approx(np.cov(s.T, bias=True)[0, 0])
     e = ndt.eigen(m).orderBy("n", ascending=False).collect()[0]
     assert abs(e["nz"]) > 0.99 and e["l0"] < e["l1"] < e["l2"]
-    assert ndt.occupancy(visits, p).orderBy("n_samples", ascending=False).collect()[0]["n_samples"] == 400
+    assert ndt.integrate(visits, p).orderBy("n_samples", ascending=False).collect()[0]["n_samples"] == 400
     points = spark.createDataFrame([(0.5, 0.5, 0.5), (0.5, 0.5, 0.9)], "x double, y double, z double")
     assert ndt.inside_ellipsoid(points, m, p).count() == 1
 
