@@ -13,10 +13,12 @@ costs a task a row a run.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.functions.params import MapParams
 from gridloom.operators.fold import VOXEL
@@ -46,20 +48,40 @@ def side_by_side(ptr: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield own, ptr[own] + t
 
 
-def step_of(p: MapParams, saturate: tuple[float, float] | None = None) -> Step:
-    """The update of values by hits (true) and misses; values at or beyond the limits in saturate stay as they are."""
+@dataclass(frozen=True)
+class Rules:
+    """How values change. Values at or beyond the limits in saturate stay; voxels that are unobserved, free or occupied at the time stay if excluded."""
+
+    saturate: tuple[float, float] | None = None
+    exclude_unobserved: bool = False
+    exclude_free: bool = False
+    exclude_occupied: bool = False
+
+    @property
+    def clamp_only(self) -> bool:
+        return not (self.saturate or self.exclude_unobserved or self.exclude_free or self.exclude_occupied)
+
+
+def step_of(p: MapParams, rules: Rules = Rules()) -> Step:
+    """The update of values (nan: unobserved) by hits (true) and misses."""
     hit, miss, low, high = (np.float32(x) for x in (p.hit, p.miss, p.low, p.high))
 
     def step(v: np.ndarray, is_hit: np.ndarray) -> np.ndarray:
-        new = np.where(is_hit, np.minimum(v + hit, high), np.maximum(v + miss, low))
-        if saturate is not None:
-            new = np.where((v <= np.float32(saturate[0])) | (v >= np.float32(saturate[1])), v, new)
-        return new
+        unobserved = np.isnan(v)
+        base = np.where(unobserved, np.float32(0), v)
+        new = np.where(is_hit, np.minimum(base + hit, high), np.maximum(base + miss, low))
+        if rules.clamp_only:
+            return new
+        stays = unobserved & rules.exclude_unobserved
+        if rules.saturate is not None:
+            stays |= ~unobserved & ((v <= np.float32(rules.saturate[0])) | (v >= np.float32(rules.saturate[1])))
+        stays |= ~unobserved & (((v < p.threshold) & rules.exclude_free) | ((v >= p.threshold) & rules.exclude_occupied))
+        return np.where(stays, v, new)
 
     return step
 
 
-def reduce_run(voxel: np.ndarray, hit: np.ndarray, step: Step, p: MapParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def reduce_run(voxel: np.ndarray, hit: np.ndarray, step: Step, p: MapParams, clamp_only: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Voxels of a run (updates in order), updates, known values (nan: none), and the updates after those as bits and their number."""
     order = np.lexsort((voxel[:, 2], voxel[:, 1], voxel[:, 0]))
     voxel, hit = voxel[order], hit[order]
@@ -67,7 +89,7 @@ def reduce_run(voxel: np.ndarray, hit: np.ndarray, step: Step, p: MapParams) ->
     n = np.diff(ptr)
     low, high = (np.full(len(n), x, np.float32) for x in (p.low, p.high))
     known, since = np.full(len(n), np.nan, np.float32), np.zeros(len(n), np.int64)
-    for t, (own, rows) in enumerate(side_by_side(ptr)):
+    for t, (own, rows) in enumerate(side_by_side(ptr) if clamp_only else ()):
         low[own], high[own] = step(low[own], hit[rows]), step(high[own], hit[rows])
         met = own[low[own] == high[own]]
         known[met], since[met] = low[met], t + 1
@@ -76,7 +98,9 @@ def reduce_run(voxel: np.ndarray, hit: np.ndarray, step: Step, p: MapParams) ->
     return voxel[ptr[:-1]], n, known, ops, bits
 
 
-def _reduce(p: MapParams, step: Step, exclude_origin: bool, exclude_sample: bool, exclude_ray: bool, end_as_free: bool):
+def _reduce(p: MapParams, rules: Rules, exclude_origin: bool, exclude_sample: bool, exclude_ray: bool, end_as_free: bool):
+    step = step_of(p, rules)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = 0
         for batch in batches:
@@ -96,7 +120,7 @@ def _reduce(p: MapParams, step: Step, exclude_origin: bool, exclude_sample: bool
                 if not use.any():
                     continue
                 hit = np.zeros(int(use.sum()), bool) if end_as_free else sample[use]
-                at, n, known, ops, bits = reduce_run(voxel[use], hit, step, p)
+                at, n, known, ops, bits = reduce_run(voxel[use], hit, step, p, rules.clamp_only)
                 m, part = len(n), part + 1
                 columns = [*(pa.array(at[:, a].astype(np.int32)) for a in range(3)), pa.array(np.full(m, seq[own[0]], np.int64)), pa.array(np.full(m, part, np.int32)), pa.array(n)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(known, pa.float32(), mask=np.isnan(known)), pa.array(ops, pa.binary()), pa.array(bits.astype(np.int32))], names=[c.split()[0] for c in _RUNS.split(", ")])
@@ -108,10 +132,11 @@ def _put_together(step: Step):
     """Rows in the order of voxels and runs; the state of the last voxel goes on into the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, value, count = None, np.float32(0), 0
+        key, value, count = None, np.float32(np.nan), 0
 
         def out(keys: np.ndarray, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(keys[:, a].astype(np.int32)) for a in range(3)), pa.array(values), pa.array(counts)], names=[*VOXEL, "occupancy", "n_ops"])
+            seen = ~np.isnan(values)  # excluded updates leave a voxel unobserved
+            return pa.RecordBatch.from_arrays([*(pa.array(keys[seen, a].astype(np.int32)) for a in range(3)), pa.array(values[seen]), pa.array(counts[seen])], names=[*VOXEL, "occupancy", "n_ops"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -119,7 +144,7 @@ def _put_together(step: Step):
             at = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
             n, known, bits = batch.column(5).to_numpy(), batch.column(6).to_numpy(zero_copy_only=False), batch.column(8).to_numpy()
             ptr = segments(at[:, 0], at[:, 1], at[:, 2])
-            start = np.zeros(len(ptr) - 1, np.float32)
+            start = np.full(len(ptr) - 1, np.nan, np.float32)
             counts = np.add.reduceat(n, ptr[:-1])
             if key is not None and tuple(at[0]) == key:
                 start[0], counts[0] = value, counts[0] + count
@@ -147,25 +172,37 @@ def _put_together(step: Step):
     return run
 
 
-def runs_of(
-    rays: DataFrame, p: MapParams = MapParams(), *, exclude_origin: bool = False, exclude_sample: bool = False, exclude_ray: bool = False, end_as_free: bool = False, saturate: tuple[float, float] | None = None
-) -> DataFrame:
+def runs_of(rays: DataFrame, p: MapParams = MapParams(), rules: Rules = Rules(), *, exclude_origin: bool = False, exclude_sample: bool = False, exclude_ray: bool = False, end_as_free: bool = False) -> DataFrame:
     """A row a voxel and run: what the run's updates make of the voxel's value."""
     ranged = rays.select("seq", *_ENDS).repartitionByRange("seq").sortWithinPartitions("seq")
-    return ranged.mapInArrow(_reduce(p, step_of(p, saturate), exclude_origin, exclude_sample, exclude_ray, end_as_free), _RUNS)
+    return ranged.mapInArrow(_reduce(p, rules, exclude_origin, exclude_sample, exclude_ray, end_as_free), _RUNS)
 
 
-def put_together(runs: DataFrame, p: MapParams = MapParams(), saturate: tuple[float, float] | None = None) -> DataFrame:
-    """gx, gy, gz, occupancy (float) and n_ops of runs_of(), of one set of rays or of several."""
+def put_together(runs: DataFrame, p: MapParams = MapParams(), rules: Rules = Rules(), into: DataFrame | None = None) -> DataFrame:
+    """gx, gy, gz, occupancy (float) and n_ops of runs_of(), of one set of rays or of several, on top of a map if there is one."""
     names = [c.split()[0] for c in _RUNS.split(", ")]
-    dealt = runs.select(*names).repartition(*VOXEL).sortWithinPartitions(*VOXEL, "run", "part")
-    return dealt.mapInArrow(_put_together(step_of(p, saturate)), "gx int, gy int, gz int, occupancy float, n_ops long")
+    runs = runs.select(*names)
+    if into is not None:
+        before = [F.lit(-(1 << 63)).cast("long").alias("run"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.col("occupancy").cast("float").alias("value"), F.lit(b"").alias("ops"), F.lit(0).alias("n_bits")]
+        runs = into.select(*VOXEL, *before).unionByName(runs)
+    dealt = runs.repartition(*VOXEL).sortWithinPartitions(*VOXEL, "run", "part")
+    return dealt.mapInArrow(_put_together(step_of(p, rules)), "gx int, gy int, gz int, occupancy float, n_ops long")
 
 
-def occupancy_map(rays: DataFrame, p: MapParams = MapParams(), *, saturate: tuple[float, float] | None = None, **flags: bool) -> DataFrame:
-    """gx, gy, gz, occupancy (float) and n_ops, of all rays in the order of seq.
+def occupancy_map(rays: DataFrame, p: MapParams = MapParams(), rules: Rules = Rules(), into: DataFrame | None = None, **flags: bool) -> DataFrame:
+    """gx, gy, gz, occupancy (float) and n_ops (updates by these rays), of all rays in the order of seq.
 
     Flags leave out the visits of the origin's voxel (exclude_origin), of the sample's (exclude_sample) or of all but the sample's
-    (exclude_ray), or let samples clear (end_as_free). Rays with null or non-finite ends have no visits.
+    (exclude_ray), or let samples clear (end_as_free). Rays with null or non-finite ends have no visits. into: the map that
+    they change, if there is one.
     """
-    return put_together(runs_of(rays, p, saturate=saturate, **flags), p, saturate)
+    return put_together(runs_of(rays, p, rules, **flags), p, rules, into)
+
+
+def touch(voxels: DataFrame, keys: DataFrame, hit: bool, p: MapParams = MapParams()) -> DataFrame:
+    """The map after one hit or miss on each of the given voxels."""
+    value = p.hit if hit else p.miss
+    both = voxels.select(*VOXEL, "occupancy").join(keys.select(*VOXEL, F.lit(True).alias("touched")), list(VOXEL), "full")
+    new = (F.coalesce("occupancy", F.lit(0.0).cast("float")) + F.lit(value).cast("float")).cast("float")
+    new = F.least(new, F.lit(p.high).cast("float")) if hit else F.greatest(new, F.lit(p.low).cast("float"))
+    return both.select(*VOXEL, F.when(F.col("touched"), new).otherwise(F.col("occupancy")).alias("occupancy"))

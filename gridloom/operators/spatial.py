@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import RAY_LENGTH, centre, key, num
 from gridloom.functions.params import MapParams
+from gridloom.operators.distance import nearest_obstacle
 from gridloom.operators.fold import VOXEL
 from gridloom.operators.walk import walk
 
@@ -17,14 +18,15 @@ def occupied(p: MapParams) -> Column:
     return F.col("occupancy") >= p.threshold
 
 
-def rays_query(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), coefficient: float = 1.0) -> DataFrame:
+def rays_query(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), coefficient: float = 1.0, at_threshold: bool = False) -> DataFrame:
     """Range to the first occupied voxel, unobserved volume ahead of it, and the terminal voxel, of each ray.
 
-    A voxel at the threshold itself does not stop a ray. The map is joined to the visits by key; the first
+    A voxel at the threshold itself stops a ray only if asked. The map is joined to the visits by key; the first
     occupied visit of a ray is an aggregate, so rays are shuffled once after the join and never sorted whole.
     """
     seen = walk(rays, p).join(voxels.select(*VOXEL, "occupancy"), list(VOXEL), "left")
-    stops = F.coalesce(F.col("occupancy") > p.threshold, F.lit(False))
+    above = lambda c: F.col(c) >= p.threshold if at_threshold else F.col(c) > p.threshold
+    stops = F.coalesce(above("occupancy"), F.lit(False))
     order = F.col("step")
     w = Window.partitionBy("seq")
     first = F.min(F.when(stops, order)).over(w)
@@ -32,7 +34,7 @@ def rays_query(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), c
     volume = F.when(F.col("occupancy").isNull(), F.pow("exit", F.lit(3)) - F.pow("enter", F.lit(3))).otherwise(0.0)
     last = F.max_by(F.struct(*VOXEL, "occupancy"), "order")
     out = used.groupBy("seq").agg(F.coalesce(F.max(F.when(~F.col("stops"), F.col("exit"))), F.lit(0.0)).alias("range"), (coefficient * F.sum(volume)).alias("unobserved_volume"), last.alias("t"))
-    kind = F.when(F.col("t.occupancy").isNull(), -1).when(F.col("t.occupancy") > p.threshold, 1).otherwise(0)
+    kind = F.when(F.col("t.occupancy").isNull(), -1).when(above("t.occupancy"), 1).otherwise(0)
     return out.select("seq", "range", "unobserved_volume", kind.alias("terminal_type"), *[F.col(f"t.{g}").alias(f"t_{g}") for g in VOXEL])
 
 
@@ -57,53 +59,57 @@ def _offsets(reach: int) -> Column:
     return F.explode(F.expr(f"sequence(-{reach}, {reach})"))
 
 
-def nearest_obstacle(targets: DataFrame, obstacles: DataFrame, p: MapParams, radius: float, scaling: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Distance from each target voxel to the nearest obstacle voxel within radius; -1 where there is none.
+def line_query(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), radius: float = 0.3, nearest_only: bool = False, **options) -> DataFrame:
+    """Clearance of each voxel along each segment, or the nearest of each segment. options: as in distance.nearest_obstacle."""
+    keys = segment_keys(rays, p)
+    return _along(keys, nearest_obstacle(keys, voxels, p, radius, **options), nearest_only)
 
-    Obstacles are spread over coarse cells of the radius and their neighbours (27 rows each), so the range join is an
-    equi-join on cells; only pairs in one neighbourhood are compared.
-    """
-    reach = max(1, math.ceil(radius / p.resolution / min(1.0, *scaling)))
-    cell = lambda g: F.floor(F.col(g) / reach).cast("int")
-    t = targets.select(*VOXEL).distinct().withColumns({f"c{i}": cell(g) for i, g in enumerate(VOXEL)})
-    o = obstacles.select(*[F.col(g).alias(f"o{g}") for g in VOXEL])
-    for i, g in enumerate(VOXEL):
-        o = o.withColumn(f"c{i}", F.floor(F.col(f"o{g}") / reach).cast("int")).withColumn(f"n{i}", _offsets(1)).withColumn(f"c{i}", F.col(f"c{i}") + F.col(f"n{i}"))
-    pairs = t.join(o.drop("n0", "n1", "n2"), ["c0", "c1", "c2"])
-    parts = [(F.col(f"o{g}") - F.col(g)) * p.resolution * s for g, s in zip(VOXEL, scaling, strict=True)]
-    squared = parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
-    near = pairs.withColumn("d2", squared).where(F.col("d2") <= radius * radius + 1e-9).groupBy(*VOXEL).agg(F.min("d2").alias("d2"))
-    return t.select(*VOXEL).join(near, list(VOXEL), "left").select(*VOXEL, F.coalesce(F.sqrt("d2"), F.lit(-1.0)).alias("clearance"))
-
-
-def line_query(rays: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), radius: float = 0.3, nearest_only: bool = False) -> DataFrame:
-    """Clearance of each voxel along each segment, or the nearest of each segment."""
+
+def line_query_on_layer(rays: DataFrame, layer: DataFrame, p: MapParams = MapParams(), default: float = -1.0, nearest_only: bool = False) -> DataFrame:
+    """The same from a clearance layer: `default` where it has no voxel, or no obstacle near it."""
     keys = segment_keys(rays, p)
-    found = keys.join(nearest_obstacle(keys, voxels.where(occupied(p)), p, radius), list(VOXEL))
+    met = keys.join(layer.select(*VOXEL, "clearance"), list(VOXEL), "left")
+    return _along(keys, met.withColumn("clearance", F.when(F.col("clearance") >= 0, F.col("clearance")).otherwise(default)), nearest_only, met=True)
+
+
+def _along(keys: DataFrame, found: DataFrame, nearest_only: bool, met: bool = False) -> DataFrame:
+    rows = found if met else keys.join(found, list(VOXEL))
     if not nearest_only:
-        return found.select("seq", "place", *VOXEL, "clearance")
+        return rows.select("seq", "place", *VOXEL, "clearance")
     best = F.min_by(F.struct("place", *VOXEL, "clearance"), F.struct(F.when(F.col("clearance") < 0, 1e30).otherwise(F.col("clearance")), F.col("place")))
-    return found.groupBy("seq").agg(best.alias("b")).select("seq", "b.*")
+    return rows.groupBy("seq").agg(best.alias("b")).select("seq", "b.*")
+
 
+def nearest_neighbours(points: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), radius: float = 0.3, nearest_only: bool = False, unknown_as_occupied: bool = False) -> DataFrame:
+    """Occupied voxels (and, if asked, those that the map doesn't know) with their centre within radius of each point (seq, x, y, z).
 
-def nearest_neighbours(points: DataFrame, voxels: DataFrame, p: MapParams = MapParams(), radius: float = 0.3, nearest_only: bool = False) -> DataFrame:
-    """Occupied voxels with their centre within radius of each point (seq, x, y, z)."""
-    reach = max(1, math.ceil(radius / p.resolution) + 1)
-    at = points.select("seq", "x", "y", "z", *[F.expr(f"CAST(floor({key(a, p, i)} / {num(reach)}) AS INT)").alias(f"c{i}") for i, a in enumerate("xyz")])
-    o = voxels.where(occupied(p)).select(*VOXEL, *[F.expr(centre(g, p, i)).alias(f"v{i}") for i, g in enumerate(VOXEL)])
-    for i, g in enumerate(VOXEL):
-        o = o.withColumn(f"n{i}", _offsets(1)).withColumn(f"c{i}", F.floor(F.col(g) / reach).cast("int") + F.col(f"n{i}"))
-    pairs = at.join(o.drop("n0", "n1", "n2"), ["c0", "c1", "c2"])
+    Unknown voxels are results themselves, so each point then asks for every voxel around it.
+    """
+    if unknown_as_occupied:
+        reach = math.ceil(radius / p.resolution) + 1
+        at = points.select("seq", "x", "y", "z", *[F.expr(key(a, p, i)).alias(g) for i, (g, a) in enumerate(zip(VOXEL, "xyz", strict=True))])
+        for g in VOXEL:
+            at = at.withColumn(g, F.explode(F.sequence(F.col(g) - reach, F.col(g) + reach)))
+        centred = at.withColumns({f"v{i}": F.expr(centre(g, p, i)) for i, g in enumerate(VOXEL)})
+    else:
+        reach = max(1, math.ceil(radius / p.resolution) + 1)
+        at = points.select("seq", "x", "y", "z", *[F.expr(f"CAST(floor({key(a, p, i)} / {num(reach)}) AS INT)").alias(f"c{i}") for i, a in enumerate("xyz")])
+        o = voxels.where(occupied(p)).select(*VOXEL, *[F.expr(centre(g, p, i)).alias(f"v{i}") for i, g in enumerate(VOXEL)])
+        for i, g in enumerate(VOXEL):
+            o = o.withColumn(f"n{i}", F.explode(F.expr("sequence(-1, 1)"))).withColumn(f"c{i}", F.floor(F.col(g) / reach).cast("int") + F.col(f"n{i}"))
+        centred = at.join(o.drop("n0", "n1", "n2"), ["c0", "c1", "c2"])
     d = [F.col(f"v{i}") - F.col(a) for i, a in enumerate("xyz")]
-    found = pairs.withColumn("range", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).where(F.col("range") <= radius)
+    found = centred.withColumn("range", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).where(F.col("range") <= radius)
+    if unknown_as_occupied:
+        found = found.join(voxels.where(~occupied(p)).select(*VOXEL), list(VOXEL), "left_anti")
     if nearest_only:
         return found.groupBy("seq").agg(F.min_by(F.struct(*VOXEL, "range"), F.struct("range", *VOXEL)).alias("b")).select("seq", "b.*")
     return found.select("seq", *VOXEL, "range")
 
 
-def clearance(voxels: DataFrame, p: MapParams = MapParams(), radius: float = 0.3) -> DataFrame:
-    """Distance of every observed voxel to the nearest occupied one."""
-    return nearest_obstacle(voxels, voxels.where(occupied(p)), p, radius)
+def clearance(voxels: DataFrame, p: MapParams = MapParams(), radius: float = 0.3, **options) -> DataFrame:
+    """Distance of every observed voxel to the nearest obstacle. options: as in distance.nearest_obstacle."""
+    return nearest_obstacle(None, voxels, p, radius, **options)
 
 
 def filter_cloud(points: DataFrame, voxels: DataFrame, p: MapParams = MapParams()) -> DataFrame:

@@ -34,7 +34,7 @@ def clamp(x, lo, hi):
     return np.float32(min(max(x, lo), hi))
 
 
-@pytest.mark.parametrize("flags", [{}, {"exclude_origin": True}, {"exclude_sample": True}, {"exclude_ray": True}, {"end_as_free": True}, {"saturate": (-1.5, 3.0)}])
+@pytest.mark.parametrize("flags", [{}, {"exclude_origin": True}, {"exclude_sample": True}, {"exclude_ray": True}, {"end_as_free": True}, {"rules": runs.Rules(saturate=(-1.5, 3.0))}, {"rules": runs.Rules(exclude_occupied=True)}])
 def test_runs_make_the_map_of_a_loop(spark, flags):
     p, rows = MapParams(), some_rays(3000) + [(9000, math.nan, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0), (9001, None, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0)]
     want = {}
@@ -45,8 +45,9 @@ def test_runs_make_the_map_of_a_loop(spark, flags):
         if (first and flags.get("exclude_origin")) or (is_sample and flags.get("exclude_sample")) or (not is_sample and flags.get("exclude_ray")):
             continue
         value, n = want.get(v, (np.float32(0), 0))
-        limits = flags.get("saturate")
-        if not limits or np.float32(limits[0]) < value < np.float32(limits[1]):
+        limits = flags["rules"].saturate if "rules" in flags else None
+        stays = v in want and "rules" in flags and flags["rules"].exclude_occupied and value >= 0
+        if not stays and (not limits or np.float32(limits[0]) < value < np.float32(limits[1])):
             value = min(value + hit, high) if is_sample and not flags.get("end_as_free") else max(value + miss, low)
         want[v] = np.float32(value), n + 1
     random.Random(2).shuffle(rows)
@@ -54,6 +55,32 @@ def test_runs_make_the_map_of_a_loop(spark, flags):
     assert {(r["gx"], r["gy"], r["gz"]): (r["occupancy"], r["n_ops"]) for r in got} == {v: (float(x), n) for v, (x, n) in want.items()}
 
 
+@pytest.mark.parametrize("rules", [runs.Rules(), runs.Rules(exclude_unobserved=True), runs.Rules(exclude_free=True), runs.Rules(exclude_occupied=True), runs.Rules(exclude_unobserved=True, exclude_free=True)])
+def test_rules_on_top_of_a_map(spark, rules):
+    p = MapParams()
+    before = {(x, y, 16): np.float32((x * 7 + y * 3) % 5 - 2) for x in range(10, 22) for y in range(10, 22)}
+    want = {v: (x, 0) for v, x in before.items()}
+    for _, v, is_sample in visits_in_order(rows := some_rays(400, 8), p):
+        value, n = want.get(v, (None, 0))
+        if (value is None and rules.exclude_unobserved) or (value is not None and ((value < 0 and rules.exclude_free) or (value >= 0 and rules.exclude_occupied))):
+            want |= {v: (value, n + 1)} if value is not None else {}
+            continue
+        base = np.float32(0) if value is None else value
+        want[v] = (min(base + np.float32(p.hit), np.float32(p.high)) if is_sample else max(base + np.float32(p.miss), np.float32(p.low))), n + 1
+    into = spark.createDataFrame([(*v, float(x)) for v, x in before.items()], "gx int, gy int, gz int, occupancy float")
+    got = runs.occupancy_map(spark.createDataFrame(rows, RAY), p, rules, into).collect()
+    assert {(r["gx"], r["gy"], r["gz"]): (r["occupancy"], r["n_ops"]) for r in got} == {v: (float(x), n) for v, (x, n) in want.items()}
+
+
+def test_single_hits_and_misses(spark):
+    p = MapParams()
+    none = spark.createDataFrame([], "gx int, gy int, gz int, occupancy float")
+    key = spark.createDataFrame([(1, 2, 3)], "gx int, gy int, gz int")
+    once = [runs.touch(none, key, hit, p) for hit in (True, False)]
+    assert [m.collect()[0]["occupancy"] for m in once] == pytest.approx([p.hit, p.miss])
+    assert runs.touch(once[0], key, True, p).collect()[0]["occupancy"] == pytest.approx(p.high)
+
+
 def test_a_voxel_that_all_rays_pass_is_one_row_a_run(spark):
     rows = some_rays(20_000, 3)
     r = runs.runs_of(spark.createDataFrame(rows, RAY), MapParams())
