@@ -42,6 +42,18 @@ def expand(b: Box, by: str) -> Box:
     return tuple(f"({x} - {by})" for x in b[0]), tuple(f"({x} + {by})" for x in b[1])  # type: ignore[return-value]
 
 
+def moved(b: Box, by: tuple[str, str, str]) -> Box:
+    return tuple(tuple(f"({x} + {d})" for x, d in zip(side, by, strict=True)) for side in b)  # type: ignore[return-value]
+
+
+def scaled(b: Box, by: str) -> Box:
+    return tuple(tuple(f"({x} * {by})" for x in side) for side in b)  # type: ignore[return-value]
+
+
+def equal(a: Box, b: Box, eps: str = "1e-9") -> str:
+    return "(" + " AND ".join(f"abs({x} - {y}) <= {eps}" for s, t in zip(a, b, strict=True) for x, y in zip(s, t, strict=True)) + ")"
+
+
 def corner(b: Box, i: int) -> tuple[str, str, str]:
     """Corner i of eight: bit a chooses the upper side on axis a."""
     return tuple(b[(i >> a) & 1][a] for a in range(3))  # type: ignore[return-value]

@@ -75,8 +75,12 @@ def touch_millis(t: str, base: str) -> str:
 
 
 def density(count: str, traversal: str) -> str:
-    """Samples a metre; NULL where samples came without any traversal."""
-    return f"(CASE WHEN {count} = 0 THEN 0e0 WHEN {traversal} > 0 THEN {count} / {traversal} END)"
+    """Samples a metre; infinite where samples came without any traversal."""
+    return f"(CASE WHEN {count} = 0 THEN 0e0 WHEN {traversal} > 0 THEN {count} / {traversal} ELSE CAST('Infinity' AS DOUBLE) END)"
+
+
+def touch_seconds(millis: str, base: str) -> str:
+    return f"({millis} * 0.001e0 + {base})"
 
 
 def occupancy_type(v: str, p: MapParams) -> str:

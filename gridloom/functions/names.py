@@ -14,9 +14,25 @@ DATA_TYPES = {0: "<unknown>", 1: "int8_t", 2: "uint8_t", 3: "int16_t", 4: "uint1
 UNKNOWN = "<unknown>"
 
 
-def name_of(value: Column, names: dict[int, str]) -> Column:
+#: What a value without a name is called, where it isn't UNKNOWN; and what a name without a value stands for.
+NO_FLAG, NO_MODE = "None", 0
+
+
+def name_of(value: Column, names: dict[int, str], other: str = UNKNOWN) -> Column:
     pairs = [F.lit(x) for item in names.items() for x in item]
-    return F.coalesce(F.element_at(F.create_map(*pairs), value.cast("int")), F.lit(UNKNOWN))
+    return F.coalesce(F.element_at(F.create_map(*pairs), value.cast("int")), F.lit(other))
+
+
+def flag_name(flags: Column) -> Column:
+    """The name of the lowest flag that is set."""
+    out = F.lit(NO_FLAG)
+    for bit in sorted(MAP_FLAGS, reverse=True):
+        out = F.when(flags.bitwiseAND(bit) != 0, MAP_FLAGS[bit]).otherwise(out)
+    return out
+
+
+def value_or(name: Column, names: dict[int, str], other: int = NO_MODE) -> Column:
+    return F.coalesce(value_of(name, names), F.lit(other))
 
 
 def value_of(name: Column, names: dict[int, str]) -> Column:

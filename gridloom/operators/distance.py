@@ -54,7 +54,8 @@ def least_unscaled(solid: np.ndarray, reach: int, resolution: float, scaling: tu
     plain = ((offsets * resolution) ** 2).sum(1)
     offsets, plain = offsets[plain <= radius * radius + 1e-9], plain[plain <= radius * radius + 1e-9]
     out = np.full((n, n, n), np.inf)
-    for k in np.argsort(((offsets * resolution * np.array(scaling)) ** 2).sum(1), kind="stable"):
+    weighed = np.round(((offsets * np.array(scaling)) ** 2).sum(1), 9)
+    for k in np.lexsort((plain, weighed)):  # of equals the plainly nearer one
         x, y, z = offsets[k] + reach
         out[solid[x : x + n, y : y + n, z : z + n] & np.isinf(out)] = plain[k]
     return out

@@ -125,3 +125,65 @@ def lookup(voxels: DataFrame, region_table: DataFrame, keys: DataFrame, p: MapPa
     met = with_region(keys, p).join(voxels.select(*VOXEL, "occupancy"), list(VOXEL), "left").join(there, list(REGION), "left")
     kind = F.when(F.col("occupancy").isNotNull(), F.when(F.col("occupancy") >= p.threshold, 1).otherwise(0)).when(F.col("there"), -1).otherwise(-2)
     return met.select(*keys.columns, "occupancy", kind.alias("kind"))
+
+
+def cull_outside(region_table: DataFrame, box: tuple[tuple[float, ...], tuple[float, ...]], p: MapParams = MapParams()) -> DataFrame:
+    """Regions that meet a box; the others go."""
+    return region_table.where(overlaps(box, p))
+
+
+def touched_since(stamp: int) -> Column:
+    return F.col("stamp") > stamp
+
+
+def all_of(*filters: Column) -> Column:
+    out = F.lit(True)
+    for f in filters:
+        out &= f
+    return out
+
+
+def any_of(*filters: Column) -> Column:
+    out = F.lit(False)
+    for f in filters:
+        out |= f
+    return out
+
+
+def dense(voxels: DataFrame, region_table: DataFrame, p: MapParams = MapParams()) -> DataFrame:
+    """Every voxel of the regions, with the layers of those that are observed (null where not)."""
+    cells = region_table.select(*REGION)
+    for r, g in zip(REGION, VOXEL, strict=True):
+        cells = cells.withColumn(g, F.explode(F.sequence(F.col(r) * p.dims, F.col(r) * p.dims + (p.dims - 1))))
+    return cells.select(*VOXEL).join(voxels, list(VOXEL), "left")
+
+
+def dirty_extents(region_table: DataFrame, since: int) -> DataFrame:
+    """Box of the regions touched after a stamp."""
+    return region_table.where(F.col("stamp") > since).agg(*[f(r).alias(f"{n}_{r}") for r in REGION for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+def detail_stats(voxels: DataFrame) -> DataFrame:
+    """Samples and intensities of a map with n (samples a voxel) and intensity_mean."""
+    return voxels.agg(F.sum("n").alias("samples"), F.max("n").alias("most_samples"), F.min("intensity_mean").alias("least_intensity"), F.max("intensity_mean").alias("most_intensity"))
+
+
+def compare_layers(a: DataFrame, b: DataFrame, tolerances: dict[str, float]) -> DataFrame:
+    """For each layer: voxels of a that b has within the layer's tolerance, has otherwise, or lacks."""
+    one = a.select(*VOXEL, *[F.col(c).alias(f"a_{c}") for c in tolerances])
+    two = b.select(*VOXEL, F.lit(True).alias("there"), *[F.col(c).alias(f"b_{c}") for c in tolerances])
+    near = lambda c: F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= tolerances[c], F.lit(False))
+    there = F.col("there").isNotNull()
+    counts = [F.struct(F.lit(c).alias("layer"), F.count_if(there & near(c)).alias("same"), F.count_if(there & ~near(c)).alias("different"), F.count_if(~there).alias("missing")) for c in tolerances]
+    return one.join(two, list(VOXEL), "left").agg(F.array(*counts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def info_rows(spark, values: dict[str, object]) -> DataFrame:
+    """Named values of a map as name, type and value, by name."""
+    kinds = {bool: "bool", int: "int64", float: "float64", str: "string"}
+    return spark.createDataFrame(sorted((k, kinds[type(v)], str(v).lower() if isinstance(v, bool) else str(v)) for k, v in values.items()), "name string, type string, value string")
+
+
+def as_number(info: DataFrame) -> DataFrame:
+    """Values as numbers where they are, booleans as 0 and 1; null for other strings."""
+    return info.withColumn("number", F.when(F.col("type") == "bool", (F.col("value") == "true").cast("double")).otherwise(F.expr("try_cast(value AS DOUBLE)")))

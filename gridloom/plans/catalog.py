@@ -301,9 +301,14 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BATCH} SELECT batch, (sum(rays) OVER w)::BIGINT AS rays, round(sum(total) OVER w / sum(rays) OVER w, 6) AS mean FROM b WINDOW w AS (ORDER BY batch ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def windowed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over each batch and the 19 before it; one row a batch reaches the window."""
-    w = Window.orderBy("batch").rowsBetween(-19, 0)
-    return _batches(spark, sf_dir).select("batch", F.sum("rays").over(w).alias("rays"), F.round(F.sum("total").over(w) / F.sum("rays").over(w), 6).alias("mean"))
+    """Over each batch and the 19 before it, by chunks of batches; a chunk gets the last 19 batches of the one before as well."""
+    size, ahead = 1000, 19
+    own = F.floor(F.col("batch") / size)
+    spread = F.when(F.col("batch") % size >= size - ahead, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = _batches(spark, sf_dir).withColumn("chunk", F.explode(spread))
+    w = Window.partitionBy("chunk").orderBy("batch").rowsBetween(-ahead, 0)
+    out = rows.select("batch", "chunk", F.sum("rays").over(w).alias("rays"), F.round(F.sum("total").over(w) / F.sum("rays").over(w), 6).alias("mean"))
+    return out.where(F.col("chunk") == own).drop("chunk")
 
 
 @query()
@@ -502,12 +507,11 @@ def heightmap_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heightmap.slopes(heightmap.planar(voxels_of(spark, sf_dir), P), P).withColumn("slope", F.round("slope", 4))
 
 
-@query()
+@query(f"{_SURFACE.replace('WITH ', 'WITH RECURSIVE ', 1)}, r AS (SELECT gx, gy, height FROM s WHERE gx = 16 AND gy = 16 UNION SELECT s.gx, s.gy, s.height FROM r JOIN s ON abs(s.gx - r.gx) <= 1 AND abs(s.gy - r.gy) <= 1 AND abs(s.height - r.height) <= 0.35e0) SELECT gx, gy, round(height, 6) AS height FROM r")
 def heightmap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns reached from the middle of the coarse heightmap."""
-    wide = MapParams(resolution=0.5)
-    surface = heightmap.planar(fold.occupancy(walk(rays_of(spark, sf_dir), wide), wide), wide, clearance=0.0)
-    return heightmap.fill(surface, (16, 16), 1.0, wide)
+    """Columns reached from the middle of the heightmap by steps of 0.35 m at most."""
+    surface = heightmap.planar(voxels_of(spark, sf_dir), P)
+    return rounded(heightmap.fill(surface, (16, 16), 0.35, P), "height")
 
 
 # distributions and exports

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.params import MapParams
 
-#: Field names that stand for a column, in the order of preference.
+# Field names that stand for a column, in the order of preference.
 TIME_NAMES = ("gps_time", "gpstime", "internal_time", "internaltime", "offset_time", "offsettime", "timestamp", "time")
-RETURN_NAMES = ("return_number", "returnnumber", "return_no")
+RETURN_NAMES = ("returnnumber", "return_number", "returnnum", "return_num")
 ALIASES = {"ts": TIME_NAMES, "return_number": RETURN_NAMES, "nx": ("nx", "normal_x"), "ny": ("ny", "normal_y"), "nz": ("nz", "normal_z"), "r": ("r", "red"), "g": ("g", "green"), "b": ("b", "blue"), "a": ("a", "alpha")}
 
 
@@ -136,3 +136,26 @@ def load_map(spark: SparkSession, path: str) -> tuple[DataFrame, MapParams, dict
     from gridloom.operators.maps import REGION
 
     return (spark.read.parquet(f"{path}/voxels").drop(*REGION), *load_header(spark, path))
+
+
+def save_heightmap(surface: DataFrame, path: str, info: dict[str, str]) -> None:
+    """A heightmap with what it was made with (axis, clearance, floor, ceiling ...)."""
+    surface.write.mode("overwrite").parquet(f"{path}/columns")
+    surface.sparkSession.createDataFrame(sorted(info.items()), "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
+
+
+def load_heightmap(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    info = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/info").collect()}
+    if "up_axis" not in info:
+        raise ValueError("not a heightmap: it has no up axis")
+    return spark.read.parquet(f"{path}/columns"), info
+
+
+# The heading of statistics files.
+STATISTICS = ("process_time_start", "process_time_end", "data_time_start", "data_time_end", "ray_count", "ray_length_minimum", "ray_length_maximum", "ray_length_average", "rays_per_second_data", "rays_per_second_process")
+
+
+def write_statistics(stats: DataFrame, path: str) -> None:
+    """Statistics of batches as CSV with the fixed heading; columns that stats lacks are empty."""
+    own = [F.col(c).cast("string") if c in stats.columns else F.lit(None).cast("string") for c in STATISTICS]
+    stats.select(*[c.alias(n) for c, n in zip(own, STATISTICS, strict=True)]).write.mode("overwrite").option("header", True).csv(path)

@@ -170,3 +170,70 @@ def split_long(rays: DataFrame, max_length: float) -> DataFrame:
     at = lambda a, k: F.col(f"o{a}") + (F.col(f"s{a}") - F.col(f"o{a}")) * k / F.col("parts")
     ends = {f"o{a}": at(a, F.col("part")) for a in "xyz"} | {f"s{a}": F.when(F.col("part") + 1 == F.col("parts"), F.col(f"s{a}")).otherwise(at(a, F.col("part") + 1)) for a in "xyz"}
     return parts.withColumns(ends | {"clipped_end": F.col("part") + 1 < F.col("parts")}).drop("parts")
+
+
+# Flags of filtered rays.
+INVALID, CLIPPED_START, CLIPPED_END = 1, 2, 4
+
+
+def flag_filter(rays: DataFrame, max_length: float = 0.0, box: tuple[tuple[float, ...], tuple[float, ...]] | None = None, mask: tuple[tuple[float, ...], tuple[float, ...]] | None = None) -> DataFrame:
+    """Rays with a `flags` column instead of being left out: bad ones INVALID, those clipped to a length or a box at that end.
+
+    A sample inside the mask is flagged as clipped and not moved, so that it does not fill a voxel.
+    """
+    finite = F.lit(True)
+    for c in ("ox", "oy", "oz", "sx", "sy", "sz"):
+        finite &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    out = rays.withColumn("flags", F.when(finite, 0).otherwise(INVALID))
+    for clip in ((clip_length, max_length) if max_length else None, (clip_box, box) if box else None):
+        if clip is not None:
+            out = clip[0](out, clip[1])
+            start = F.when(F.col("clipped_start"), CLIPPED_START).otherwise(0) if "clipped_start" in out.columns else F.lit(0)
+            out = out.withColumn("flags", F.col("flags").bitwiseOR(start).bitwiseOR(F.when(F.col("clipped_end"), CLIPPED_END).otherwise(0))).drop("clipped_start", "clipped_end")
+    if mask is not None:
+        inside = F.lit(True)
+        for a, low, high in zip("xyz", *mask, strict=True):
+            inside &= F.col(f"s{a}").between(low, high)
+        out = out.withColumn("flags", F.col("flags").bitwiseOR(F.when(inside, CLIPPED_END).otherwise(0)))
+    return out
+
+
+def limited(rays: DataFrame, start_time: float = 0.0, time_limit: float = 0.0, point_limit: int = 0) -> DataFrame:
+    """Rays from a time on, for so long, and the first so many of those by seq (0: no limit)."""
+    out = rays.where(F.col("ts") >= start_time) if start_time else rays
+    out = out.where(F.col("ts") - start_time <= time_limit) if time_limit else out
+    return out.orderBy("seq").limit(point_limit) if point_limit else out
+
+
+def first_time(rays: DataFrame) -> DataFrame:
+    """The time of the first ray by seq, which is the base of touch times (not the earliest time)."""
+    return rays.agg(F.min_by("ts", "seq").alias("first_time"))
+
+
+def late(rays: DataFrame, chunk: int = 65_536) -> DataFrame:
+    """seq of the rays whose time lies before that of an earlier ray: a source that only moves forward can't place them.
+
+    The highest time so far is carried from chunk to chunk of seq, one row a chunk.
+    """
+    own = rays.select("seq", "ts", F.floor(F.col("seq") / chunk).alias("chunk"))
+    tops = own.groupBy("chunk").agg(F.max("ts").alias("top"))
+    before = tops.select("chunk", F.max("top").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inside = F.max("ts").over(Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return own.join(before, "chunk").withColumn("top", F.greatest("before", inside)).where("ts < top").select("seq")
+
+
+def rays_from_cloud(points: DataFrame, path: DataFrame | None = None, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Rays of a point cloud (seq, ts, x, y, z): from the sensor's path where there is one, from the fixed offset where not.
+
+    Points outside the path's time have their origin at zero.
+    """
+    if path is None:
+        return points.withColumnsRenamed({a: f"s{a}" for a in "xyz"}).withColumns({f"o{a}": F.lit(float(d)) for a, d in zip("xyz", offset, strict=True)})
+    met = attach_trajectory(points, path)
+    moved = {f"o{a}": F.col(f"sensor_{a}") + d for a, d in zip("xyz", offset, strict=True)}
+    return met.withColumns(moved).withColumnsRenamed({a: f"s{a}" for a in "xyz"}).drop("sensor_x", "sensor_y", "sensor_z")
+
+
+def rays_from_ray_cloud(points: DataFrame) -> DataFrame:
+    """Rays of a cloud whose normals point from the sample back to the sensor (nx, ny, nz, at full length)."""
+    return points.withColumns({f"o{a}": F.col(a) + F.col(f"n{a}") for a in "xyz"}).withColumnsRenamed({a: f"s{a}" for a in "xyz"}).drop("nx", "ny", "nz")
