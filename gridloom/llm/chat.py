@@ -12,8 +12,10 @@ turn at a time, however long a conversation is.
 
 Defined cases: null texts and null roles are empty; turns of equal number follow
 each other by role and text; null turn numbers come first; a conversation whose
-roles break the order is formatted all the same and marked invalid from there on; an
-empty table gives no rows.
+roles break the order is formatted all the same and marked invalid from there on; null
+conversation ids are one conversation; repeated rows are turns of their own; a long
+text is held whole, a long conversation turn by turn; an empty table gives no rows;
+columns other than the four named are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.storage import bounded
+
 ESCAPE = "\x1b"
 
 
@@ -130,7 +134,7 @@ def format_turns(conversations: DataFrame, template: Template | None = None, id_
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), _SEGMENT)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "role", "state", "valid", "segments"])
 
-    rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded(conversations).select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, _TURNS)
 
 
