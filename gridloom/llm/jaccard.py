@@ -44,6 +44,8 @@ SHINGLE_WORDS = 5
 TREES, DEPTH, FULL, FLOOR, SMALL, TARGET, SIMILAR = 32, 8, 6, 5, 32, 0.9999, 0.8
 #: A block of a cluster holds at most about so many shingles and nodes.
 BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 256
+#: Components are found by so many edges a task.
+EDGES_A_TASK = 200_000
 #: Subtrees of any size are met in so many parts first.
 SALTS = 64
 #: Nodes to verify are broadcast up to this many (24 bytes each), else joined by a shuffle.
@@ -189,17 +191,24 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (least node) of each component of the edges (a, b). Least labels travel along edges and are shortened by jumps."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    parts = max(1, -(-both.count() // EDGES_A_TASK))  # small tables go on in few tasks and files
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")).coalesce(parts))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
         jump = step.join(label.select(F.col("node").alias("new"), F.col("root").alias("far")), "new", "left")
-        new = cut(jump.select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "root"))
+        new = cut(jump.select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "root").coalesce(parts))
         if new.where("new != root").isEmpty():
             return label
         label = new.select("node", F.col("new").alias("root"))
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """Fewer edges of the same components: a node keeps the least of its b's (at most a few a tree, or one a block), and links the others to that one."""
+    hubs = edges.groupBy("a").agg(F.collect_set("b").alias("hubs")).withColumn("b", F.least("a", F.array_min("hubs")))
+    return hubs.select(F.explode(F.array_union("hubs", F.array("a"))).alias("a"), "b").where("a != b").distinct()
+
+
 def compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, across: bool = True, rows: int = 512, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Linked copies of each set, and the least index of its component.
 
@@ -288,10 +297,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes_of = cut(rows.mapInArrow(_scan, "id long, sid long, n long, keys array<long>"))
     nodes = cut(nodes_of.groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
-    # a node has at most a few hubs a tree: it keeps the least, and links its other hubs to that one
-    hubs = candidates(nodes.where("n > 0")).groupBy("a").agg(F.collect_set("b").alias("hubs")).withColumn("b", F.least("a", F.array_min("hubs")))
-    stars = hubs.select(F.explode(F.array_union("hubs", F.array("a"))).alias("a"), "b").where("a != b").distinct()
-    clusters = components(stars)
+    clusters = components(stars(candidates(nodes.where("n > 0"))))
 
     # blocks of clusters
     members = clusters.select(F.col("node").alias("sid"), F.col("root").alias("cid")).join(nodes.select("sid", "copies", "first", "n"), "sid")
@@ -311,7 +317,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     split = members.where("blocks > 1").select("sid")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if not split.isEmpty():  # components of clusters of several blocks are joined over the blocks
-        across = components(found.join(split, "sid", "left_semi").select(F.col("sid").alias("a"), F.col("root").alias("b")).where("a != b"))
+        across = components(stars(found.join(split, "sid", "left_semi").select(F.col("sid").alias("a"), F.col("root").alias("b")).where("a != b")))
         links = links.join(across.select(F.col("node").alias("sid"), F.col("root").alias("joined")), "sid", "left").select("sid", "links", F.coalesce("joined", "root").alias("root"))
 
     linked = nodes.where("copies > 1").select("sid").union(links.where("links > 0").select("sid")).distinct().join(nodes.select("sid", "copies", "first"), "sid").join(links, "sid", "left")

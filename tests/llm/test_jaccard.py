@@ -139,6 +139,14 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and {got[100], got[101], got[102]} == {100}
 
 
+def test_stars_keep_components(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(40), 100 + rng.randrange(25)) for _ in range(60)], "a long, b long")
+    roots = lambda e: {(r["node"], r["root"]) for r in jaccard.components(e).collect()}
+    fewer = jaccard.stars(edges)
+    assert roots(fewer) == roots(edges) and fewer.count() <= edges.distinct().count()
+
+
 def test_compare_counts_across_sides_only():
     a = np.arange(50, dtype=np.uint64)
     linked, root = jaccard.compare([a, a[:45], a + np.uint64(500), a[5:]], np.array([1, 2, 3, 4]), np.array([0, 0, 1, 1]))
