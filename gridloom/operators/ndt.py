@@ -19,6 +19,8 @@ from gridloom.operators.fold import VOXEL, mean_step
 from gridloom.operators.ordered import ordered_fold
 from gridloom.operators.walk import centres
 
+_PAIRS = ((0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2))
+
 
 def moments(visits: DataFrame) -> DataFrame:
     """Count, mean, population covariance (six entries) and intensity of the samples in each voxel. visits carry s and intensity.
@@ -31,6 +33,30 @@ def moments(visits: DataFrame) -> DataFrame:
     return samples.groupBy(*VOXEL).agg(F.count("*").alias("n"), *[F.avg(f"s{a}").alias(f"m{a}") for a in "xyz"], *named, F.avg("intensity").alias("intensity_mean"), F.var_pop("intensity").alias("intensity_var"))
 
 
+def ordered_moments(samples: DataFrame) -> DataFrame:
+    """Count, mean and covariance of moments(), of samples with their voxel (gx, gy, gz), seq and s, added one by one in the order of seq.
+
+    moments() merges parts in any order, so its last bits, and what lies at a limit, change from run to run; these do not.
+    """
+
+    def step(s: dict, u: dict, _: np.ndarray) -> dict:
+        at = np.stack([u[f"s{a}"] for a in "xyz"], 1)
+        n = s["n"] + 1
+        gap = at - s["centre"]
+        centre = s["centre"] + gap / n[:, None]
+        rest = at - centre
+        return {"n": n, "total": s["total"] + at, "centre": centre, "co": s["co"] + np.stack([gap[:, j] * rest[:, i] for i, j in _PAIRS], 1)}
+
+    def finish(s: dict) -> dict:
+        n = s["n"][:, None]
+        mean, co = s["total"] / n, s["co"] / n
+        return {"n": s["n"]} | {f"m{a}": np.ascontiguousarray(mean[:, i]) for i, a in enumerate("xyz")} | {f"c{'xyz'[i]}{'xyz'[j]}": np.ascontiguousarray(co[:, k]) for k, (i, j) in enumerate(_PAIRS)}
+
+    init = lambda k: {"n": np.zeros(k, np.int64), "total": np.zeros((k, 3)), "centre": np.zeros((k, 3)), "co": np.zeros((k, 6))}
+    schema = "n long, " + ", ".join(f"m{a} double" for a in "xyz") + ", " + ", ".join(f"c{'xyz'[i]}{'xyz'[j]} double" for i, j in _PAIRS)
+    return ordered_fold(samples, ("sx", "sy", "sz"), ("seq",), init, step, finish, schema)
+
+
 def hit_miss(visits: DataFrame) -> DataFrame:
     """How many rays ended in, and passed through, each voxel."""
     return visits.groupBy(*VOXEL).agg(F.count_if("sample").alias("hits"), F.count_if(~F.col("sample")).alias("misses"))
@@ -182,7 +208,7 @@ def inside_ellipsoid(points: DataFrame, voxels: DataFrame, p: MapParams = MapPar
 
     keyed = points.withColumns({g: F.expr(key(a, p, i)) for i, (g, a) in enumerate(zip(VOXEL, "xyz", strict=True))})
     met = keyed.join(voxels.where("n >= 4"), list(VOXEL))
-    eps = (0.1 * p.resolution) ** 2
+    eps = (p.resolution / 10) ** 2  # 1e-4 at 0.1 m to the last bit
     a, b, c, d, e, f = F.col("cxx") + eps, F.col("cxy"), F.col("cxz"), F.col("cyy") + eps, F.col("cyz"), F.col("czz") + eps
     det = a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)
     x, y, z = (F.col(v) - F.col(f"m{v}") for v in "xyz")
