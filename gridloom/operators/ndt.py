@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.params import MapParams, log_odds
 from gridloom.operators.fold import VOXEL, mean_step
 from gridloom.operators.ordered import ordered_fold
-from gridloom.operators.walk import centres
+from gridloom.operators.runs import segments
+from gridloom.operators.walk import SLICE, centres, walk_arrays
 
 _PAIRS = ((0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2))
 
@@ -128,6 +129,33 @@ def miss_change(root: np.ndarray, mean: np.ndarray, sensor: np.ndarray, sample:
         return np.log(q / (1 - q)).astype(np.float32), product < 0.5 * rate
 
 
+#: Voxels along the edge of a block: the unit in which rays are dealt to tasks.
+BLOCK = 8
+_PACKED = "bx int, by int, bz int, seq long, step int, ox double, oy double, oz double, sx double, sy double, sz double, intensity float, cells binary"
+_ENDS = ("ox", "oy", "oz", "sx", "sy", "sz")
+
+
+def _pack(seq: pa.Array, ends: np.ndarray, intensity: np.ndarray, ray: np.ndarray, step: np.ndarray, voxel: np.ndarray, sample: np.ndarray) -> pa.RecordBatch:
+    """A row for each stay of a ray in a block: the ray, and the cells that it visits there, in order, with the sample's marked.
+
+    seq, ends and intensity have a row a ray (the number in `ray`), step, voxel and sample one a visit.
+    """
+    block = voxel // BLOCK
+    local = voxel - block * BLOCK
+    cells = ((local[:, 0] * BLOCK + local[:, 1]) * BLOCK + local[:, 2] + np.where(sample, BLOCK**3, 0)).astype("<u2")
+    ptr = segments(ray, block[:, 0], block[:, 1], block[:, 2])
+    head, own = ptr[:-1], ray[ptr[:-1]]
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((2 * ptr).astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())])
+    columns = [*(pa.array(block[head, a].astype(np.int32)) for a in range(3)), seq.take(pa.array(own)).cast(pa.int64()), pa.array(step[head].astype(np.int32))]
+    columns += [*(pa.array(ends[own, a]) for a in range(6)), pa.array(intensity[own].astype(np.float32)), packed]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PACKED.split(", ")])
+
+
+def _arrays(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[first : first + 6]], 1)
+    return ends, batch.column(first + 6).to_numpy(zero_copy_only=False).astype(np.float32)
+
+
 def integrate(visits: DataFrame, p: MapParams = MapParams(), ndt: NdtParams = NdtParams()) -> DataFrame:
     """Occupancy, quantised mean, covariance root (six entries by rows), intensity and hit and miss counts of each voxel.
 
@@ -135,64 +163,188 @@ def integrate(visits: DataFrame, p: MapParams = MapParams(), ndt: NdtParams = Nd
     raises it and moves the distribution, which starts anew once the voxel has become unlikely. All in the order of the
     rays. visits carry o, s and intensity; intensity and counts are those of the traversability mode.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, intensity = _arrays(batch, 6)
+            voxel = np.stack([batch.column(k).to_numpy() for k in (2, 3, 4)], 1).astype(np.int64)
+            ray = np.concatenate([[0], np.cumsum(segment_heads(batch.column(0).to_numpy(), *ends.T, intensity)[1:])]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+            lead = np.flatnonzero(np.diff(ray, prepend=-1))
+            yield _pack(batch.column(0).take(pa.array(lead)), ends[lead], intensity[lead], ray, batch.column(1).to_numpy(), voxel, batch.column(5).to_numpy(zero_copy_only=False))
+
+    return _fold(visits.select("seq", "step", *VOXEL, "sample", *_ENDS, "intensity").mapInArrow(run, _PACKED), p, ndt)
+
+
+def segment_heads(*columns: np.ndarray) -> np.ndarray:
+    """Rows that differ from the one before."""
+    heads = np.zeros(len(columns[0]), bool)
+    heads[segments(*columns)[:-1]] = True
+    return heads
+
+
+def integrate_rays(rays: DataFrame, p: MapParams = MapParams(), ndt: NdtParams = NdtParams()) -> DataFrame:
+    """integrate() of all visits of rays (with intensity), packed as they are walked. Rays with null or non-finite ends have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, intensity = _arrays(batch, 1)
+            fine = np.flatnonzero(np.isfinite(ends).all(1))
+            size = np.abs(ends[fine, 3:] - ends[fine, :3]).sum(1) / p.resolution + 4
+            cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + SLICE, SLICE))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                own = fine[i:j]
+                if not len(own):
+                    continue
+                ray, voxel, _, _, sample = walk_arrays(ends[own, :3], ends[own, 3:], p)
+                ptr = segments(ray)
+                step = np.arange(len(ray)) - np.repeat(ptr[:-1], np.diff(ptr))
+                yield _pack(batch.column(0).take(pa.array(own)), ends[own], intensity[own], ray, step, voxel, sample)
+
+    return _fold(rays.select("seq", *_ENDS, "intensity").repartition("seq").mapInArrow(run, _PACKED), p, ndt)
+
+
+def _fold(packed: DataFrame, p: MapParams, ndt: NdtParams) -> DataFrame:
+    """The states that packed rays leave, block by block.
+
+    A task has a block's rays in order and takes a batch of them at a time, with the states of the block's voxels carried
+    on. Between two samples in a voxel its distribution stays and misses only lower it, so all those misses are one step:
+    there are as many steps as a voxel has samples in a batch, each for all voxels side by side.
+    """
     hit, miss, low, high = (np.float32(x) for x in (p.hit, p.miss, p.low, p.high))
     rate = adaptation_rate(p.p_miss) if ndt.adaptation is None else ndt.adaptation
     start = np.float32(0.1) * np.float32(p.resolution)
-
-    def step(s: dict, u: dict, voxel: np.ndarray) -> dict:
-        centre = np.stack([centres(voxel[:, a], p, a) for a in range(3)], 1)
-        mean = s["bits"] * (p.resolution / 1023) - 0.5 * p.resolution + centre
-        sensor, sample = (np.stack([u[f"{e}{a}"] for a in "xyz"], 1) for e in "os")
-        new, n = {k: v.copy() for k, v in s.items()}, s["n"]
-        fresh, rows = np.isnan(s["value"]), np.arange(len(n))
-
-        at = rows[~u["sample"]]
-        change, is_miss = np.full(len(at), miss), np.ones(len(at), bool)
-        dense = np.flatnonzero(~fresh[at] & (n[at] >= ndt.least_samples))
-        k = at[dense]
-        if len(k):
-            change[dense], is_miss[dense] = miss_change(s["root"][k].astype(float), mean[k], sensor[k], sample[k], rate, ndt.noise)
-        new["value"][at] = np.maximum(np.where(fresh[at], np.float32(0), s["value"][at]) + change, low)
-        new["misses"][at] += is_miss
-
-        at = rows[u["sample"]]
-        if len(at):
-            value, count = s["value"][at], n[at]
-            base = np.where(fresh[at], np.float32(np.inf), value)
-            reset = (count == 0) | ((base < np.float32(ndt.reset_below)) & (count >= ndt.reset_samples))
-            # counts: those of before the hit, with the distribution of before
-            clear = fresh[at] | reset
-            with np.errstate(divide="ignore", invalid="ignore"):
-                by_voxel, by_sample = likelihoods(s["root"][at].astype(float), mean[at], sensor[at], sample[at], ndt.noise)
-            product, eta = by_voxel * by_sample, 0.5 * rate
-            enough = count >= ndt.least_samples
-            new["hits"][at] = np.where(clear, 0, s["hits"][at]) + (clear | ~enough | (product >= eta))
-            new["misses"][at] = np.where(clear, 0, s["misses"][at]) + (~clear & enough & (product < eta) & (by_voxel >= eta))
-            # intensity
-            i, c = u["intensity"][at].astype(np.float32), count.astype(np.float32)
-            share, gap = np.float32(1) / (c + np.float32(1)), s["i_mean"][at] - i
-            new["i_mean"][at] = np.where(reset, i, share * (c * s["i_mean"][at] + i))
-            new["i_var"][at] = np.where(reset, np.float32(ndt.intensity_var), share * (c * s["i_var"][at] + share * gap * gap))
-            # distribution, value and mean
-            root = np.where(reset[:, None, None], np.eye(3, dtype=np.float32) * start, s["root"][at])
-            count = np.where(reset, 0, count)
-            new["root"][at] = covariance_step(root, count, np.where(reset[:, None], 0.0, sample[at] - mean[at]))
-            new["value"][at] = np.minimum(np.where(fresh[at], np.float32(0), value) + hit, high)
-            new["bits"][at] = mean_step(s["bits"][at], count, sample[at] - centre[at], p.resolution)
-            new["n"][at] = count + 1
-        return new
+    size = BLOCK**3
 
     def init(k: int) -> dict:
         state = {"value": np.full(k, np.nan, np.float32), "n": np.zeros(k, np.int64), "bits": np.zeros((k, 3), np.int32), "root": np.tile(np.eye(3, dtype=np.float32) * start, (k, 1, 1))}
         return state | {"i_mean": np.zeros(k, np.float32), "i_var": np.zeros(k, np.float32), "hits": np.zeros(k, np.int64), "misses": np.zeros(k, np.int64)}
 
-    def finish(s: dict) -> dict:
+    def mean_of(s: dict, centre: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return s["bits"][at] * (p.resolution / 1023) - 0.5 * p.resolution + centre[at]
+
+    def pass_through(s: dict, centre: np.ndarray, at: np.ndarray, sensor: np.ndarray, sample: np.ndarray) -> None:
+        """Misses of voxels `at`, in order; a voxel may occur again and again."""
+        fresh = np.isnan(s["value"][at])
+        first = fresh & np.append(True, at[1:] != at[:-1])
+        change, is_miss = np.full(len(at), miss), np.ones(len(at), bool)
+        dense = np.flatnonzero(~first & (s["n"][at] >= ndt.least_samples))
+        if len(dense):
+            k = at[dense]
+            change[dense], is_miss[dense] = miss_change(s["root"][k].astype(float), mean_of(s, centre, k), sensor[dense], sample[dense], rate, ndt.noise)
+        s["value"][at[first]] = 0
+        np.add.at(s["value"], at, change)  # one after the other, in single precision
+        s["value"][at] = np.maximum(s["value"][at], low)
+        np.add.at(s["misses"], at, is_miss.astype(np.int64))
+
+    def end_in(s: dict, centre: np.ndarray, at: np.ndarray, sensor: np.ndarray, sample: np.ndarray, intensity: np.ndarray) -> None:
+        """A sample in each of the voxels `at`, each once."""
+        value, count, old, mean = s["value"][at], s["n"][at], s["root"][at], mean_of(s, centre, at)
+        fresh = np.isnan(value)
+        base = np.where(fresh, np.float32(np.inf), value)
+        reset = (count == 0) | ((base < np.float32(ndt.reset_below)) & (count >= ndt.reset_samples))
+        # counts: those of before the hit, with the distribution of before
+        clear = fresh | reset
+        with np.errstate(divide="ignore", invalid="ignore"):
+            by_voxel, by_sample = likelihoods(old.astype(float), mean, sensor, sample, ndt.noise)
+        product, eta = by_voxel * by_sample, 0.5 * rate
+        enough = count >= ndt.least_samples
+        s["hits"][at] = np.where(clear, 0, s["hits"][at]) + (clear | ~enough | (product >= eta))
+        s["misses"][at] = np.where(clear, 0, s["misses"][at]) + (~clear & enough & (product < eta) & (by_voxel >= eta))
+        # intensity
+        c, i_mean = count.astype(np.float32), s["i_mean"][at]
+        share, gap = np.float32(1) / (c + np.float32(1)), i_mean - intensity
+        s["i_mean"][at] = np.where(reset, intensity, share * (c * i_mean + intensity))
+        s["i_var"][at] = np.where(reset, np.float32(ndt.intensity_var), share * (c * s["i_var"][at] + share * gap * gap))
+        # distribution, value and mean
+        root = np.where(reset[:, None, None], np.eye(3, dtype=np.float32) * start, old)
+        count = np.where(reset, 0, count)
+        s["root"][at] = covariance_step(root, count, np.where(reset[:, None], 0.0, sample - mean))
+        s["value"][at] = np.minimum(np.where(fresh, np.float32(0), value) + hit, high)
+        s["bits"][at] = mean_step(s["bits"][at], count, sample - centre[at], p.resolution)
+        s["n"][at] = count + 1
+
+    def update(s: dict, centre: np.ndarray, voxel: np.ndarray, is_hit: np.ndarray, sensor: np.ndarray, sample: np.ndarray, intensity: np.ndarray) -> None:
+        """Visits in order, of numbered voxels; sensor, sample and intensity have a row a visit."""
+        order = np.argsort(voxel.astype(np.uint16) if len(centre) <= 1 << 16 else voxel, kind="stable")
+        voxel, is_hit = voxel[order], is_hit[order]
+        ptr = segments(voxel)
+        turn = np.cumsum(is_hit) - is_hit if miss <= 0 else np.arange(len(voxel))
+        turn = turn - np.repeat(turn[ptr[:-1]], np.diff(ptr))
+        by_turn = np.argsort(2 * turn + is_hit, kind="stable")  # in a turn the misses, then the sample after them
+        cuts = np.searchsorted((2 * turn + is_hit)[by_turn], np.arange(2 * int(turn.max(initial=-1)) + 4))
+        for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if i < j:
+                at, rows = voxel[by_turn[i:j]], order[by_turn[i:j]]
+                if k % 2:
+                    end_in(s, centre, at, sensor[rows], sample[rows], intensity[rows])
+                else:
+                    pass_through(s, centre, at, sensor[rows], sample[rows])
+
+    def out(voxel: np.ndarray, s: dict) -> pa.RecordBatch:
         root = {f"r{i}{j}": np.ascontiguousarray(s["root"][:, i, j]) for i in range(3) for j in range(i + 1)}
-        return {"occupancy": s["value"], "n_samples": s["n"]} | {f"m{a}": np.ascontiguousarray(s["bits"][:, i]) for i, a in enumerate("xyz")} | root | {"intensity_mean": s["i_mean"], "intensity_var": s["i_var"], "hits": s["hits"], "misses": s["misses"]}
+        made = {"occupancy": s["value"], "n_samples": s["n"]} | {f"m{a}": np.ascontiguousarray(s["bits"][:, i]) for i, a in enumerate("xyz")} | root
+        made |= {"intensity_mean": s["i_mean"], "intensity_var": s["i_var"], "hits": s["hits"], "misses": s["misses"]}
+        return pa.RecordBatch.from_arrays([*(pa.array(voxel[:, a].astype(np.int32)) for a in range(3)), *(pa.array(x) for x in made.values())], names=[*VOXEL, *made])
+
+    def voxels_of(block: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return block * BLOCK + np.stack([cell // BLOCK**2, cell // BLOCK % BLOCK, cell % BLOCK], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, seen = None, None, None  # the last block, and the states of its voxels
+
+        def rest() -> pa.RecordBatch:
+            cell = np.flatnonzero(seen)
+            return out(voxels_of(np.array([key]), cell), {f: v[cell] for f, v in held.items()})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy() for k in range(3)], 1).astype(np.int64)
+            ends, intensity = _arrays(batch, 5)
+            packed = batch.column(12).cast(pa.binary())
+            offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+            cells = np.frombuffer(packed.buffers()[2], "<u2", count=(offsets[-1] - offsets[0]) // 2, offset=int(offsets[0])).astype(np.int64)
+            row = np.repeat(np.arange(len(at)), np.diff(offsets) // 2)
+            ptr = segments(at[:, 0], at[:, 1], at[:, 2])
+            blocks = at[ptr[:-1]]
+            code = np.repeat(np.arange(len(blocks)), np.diff(ptr))[row] * size + cells % size
+            met = np.zeros(len(blocks) * size, bool)
+            met[code] = True
+            codes, number = np.flatnonzero(met), np.cumsum(met) - 1
+            block, cell = codes // size, codes % size
+            voxel = voxels_of(blocks[block], cell)
+            state = init(len(codes))
+            goes_on = key is not None and tuple(at[0]) == key
+            if goes_on:
+                first = block == 0
+                for f in state:
+                    state[f][first] = held[f][cell[first]]
+            elif key is not None:
+                yield rest()
+            update(state, np.stack([centres(voxel[:, a], p, a) for a in range(3)], 1), number[code], cells >= size, ends[row, :3], ends[row, 3:], intensity[row])
+            last = len(blocks) - 1
+            done = np.flatnonzero((block < last) & ((block > 0) | (not goes_on)))
+            for b in range(last + 1) if last < 1 else (0, last):
+                if b == 0 and not goes_on and last > 0:
+                    continue
+                if b > 0 and goes_on:
+                    yield rest()
+                if b > 0 or not goes_on:
+                    held, seen = init(size), np.zeros(size, bool)
+                own = block == b
+                for f in state:
+                    held[f][cell[own]] = state[f][own]
+                seen[cell[own]] = True
+                key = tuple(blocks[b])
+            if len(done):
+                yield out(voxel[done], {f: v[done] for f, v in state.items()})
+        if key is not None:
+            yield rest()
 
     roots = ", ".join(f"r{i}{j} float" for i in range(3) for j in range(i + 1))
-    schema = f"occupancy float, n_samples long, mx int, my int, mz int, {roots}, intensity_mean float, intensity_var float, hits long, misses long"
-    return ordered_fold(visits, ("sample", "ox", "oy", "oz", "sx", "sy", "sz", "intensity"), ("seq", "step"), init, step, finish, schema)
+    schema = f"gx int, gy int, gz int, occupancy float, n_samples long, mx int, my int, mz int, {roots}, intensity_mean float, intensity_var float, hits long, misses long"
+    dealt = packed.repartition("bx", "by", "bz").sortWithinPartitions("bx", "by", "bz", "seq", "step")
+    return dealt.mapInArrow(run, schema)
 
 
 def covariance(voxels: DataFrame) -> DataFrame:
